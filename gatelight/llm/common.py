@@ -70,10 +70,11 @@ class Tokenizer:
     A word's hash is a polynomial in its bytes modulo 2**64, read off running sums and finalised
     by `mix`. fold: "" takes words as they are; "lower" lower-cases A-Z; "plain" also lower-cases
     Latin-1 letters and drops ASCII characters other than letters and digits, so that a word may
-    vanish.
+    vanish. stems: numbers of leading bytes whose hashes follow each word's own as further entries.
     """
 
-    def __init__(self, fold: str = ""):
+    def __init__(self, fold: str = "", stems: tuple[int, ...] = ()):
+        self.stems = stems
         rng = np.random.Generator(np.random.PCG64(20240229))
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.fold = fold
@@ -96,7 +97,7 @@ class Tokenizer:
         np.cumprod(self.unpower, out=self.unpower)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all words in a row, number of words of each text)."""
+        """(hashes of all words in a row, number of hashes of each text)."""
         parts, counts, at = [], np.zeros(len(texts), np.int64), 0
         while at < len(texts):
             to, size = at, 0
@@ -133,8 +134,15 @@ class Tokenizer:
         start, end = edge[0::2], edge[1::2]
         h = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
         h *= self.unpower[start]
-        upto = np.searchsorted(start, ends)
-        return mix(h), np.diff(upto, prepend=0)
+        counts = np.diff(np.searchsorted(start, ends), prepend=0)
+        if not self.stems:
+            return mix(h), counts
+        all_h = [mix(h)]
+        for k in self.stems:
+            stop = np.minimum(start + k, end)
+            part = sums[stop - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+            all_h.append(mix(part * self.unpower[start] + np.uint64(k) * M1))
+        return np.stack(all_h, 1).ravel(), counts * len(all_h)
 
 
 def windows(h: np.ndarray, k: int, mult: np.uint64) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Toxicity categories by a classifier chain.
 
-Categories are predicted one after another by linear models over word presence; each later model
+Categories are predicted one after another by linear models over presence of words and stems; each later model
 also gets the probabilities of the earlier categories, and is trained on out-of-fold ones, so that
 training and use see the same kind of input.
 """
@@ -20,8 +20,12 @@ from gatelight.llm.quality import labelled_sample
 
 #: Labelled rows to learn from at most, words kept for each category, folds.
 MAX_TRAIN = 12_000
-MAX_WORDS = 512
+MAX_WORDS = 768
 FOLDS = 4
+#: The registered query calls a document toxic from this probability on.
+TOXIC = 0.25
+#: Leading bytes of words that count as features beside the words, for inflected forms.
+STEMS = (4, 5)
 
 
 class Link(NamedTuple):
@@ -66,7 +70,7 @@ def telling_words(h: np.ndarray, counts: np.ndarray, y: np.ndarray, limit: int)
     return np.sort(vocab[np.argsort(-z, kind="stable")[:limit]])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by L-BFGS; the bias isn't penalised."""
     n = len(y)
     x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
@@ -145,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_c
     kinds = ", ".join(f"y{i} int" for i in range(len(categories)))
 
     def run(batches):
-        words = C.Tokenizer("plain")
+        words = C.Tokenizer("plain", STEMS)
         for batch in batches:
             for part in C.text_slices(batch, "text"):
                 blobs = [np.unique(words([t])[0]).tobytes() for t in part.column(0).to_pylist()]
@@ -170,7 +174,7 @@ def score_toxicity(docs: DataFrame, chain: list[Link], categories: list[str], te
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches):
-        words = C.Tokenizer("plain")
+        words = C.Tokenizer("plain", STEMS)
         for batch in batches:
             col = batch.schema.get_field_index(text_col)
             for part in C.text_slices(batch, text_col):
@@ -189,4 +193,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = C.table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
     categories = ["low_quality", "toxic"]
     scored = score_toxicity(docs, fit_toxicity(docs, labels, categories), categories)
-    return scored.where("p_toxic >= 0.5").select("doc_id", "p_low_quality", "p_toxic", F.lit(1).alias("toxic"))
+    return scored.where(F.col("p_toxic") >= TOXIC).select("doc_id", "p_low_quality", "p_toxic", F.lit(1).alias("toxic"))

@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gatelight.llm import ann, bpe, chat, decontam, licenses, quality, substrings, toxicity, urls
+from gatelight.llm import ann, bpe, chat, decontam, jaccard, licenses, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -8,10 +8,11 @@ QUERIES = {
     "op3_preferences": chat.op3_preferences,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_quality": quality.op8_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_nearest": ann.op10_nearest,
 }
 
-ORACLE_SQL = {"op1_license_scan": licenses.OP1_SQL, "op2_url_filter": urls.OP2_SQL, "op3_preferences": chat.OP3_SQL, "op5_substring_dedup": substrings.OP5_SQL}
+ORACLE_SQL = {"op1_license_scan": licenses.OP1_SQL, "op2_url_filter": urls.OP2_SQL, "op3_preferences": chat.OP3_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op6_jaccard_join": jaccard.OP6_SQL}

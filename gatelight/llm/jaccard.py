@@ -76,19 +76,16 @@ class Parts:
     """
 
     def __init__(self, t: int, hot: np.ndarray | None):
-        self.t, self.hot, self.lows = t, hot, [1]
-
-    def interval(self, n: int) -> int:
-        while self.lows[-1] <= n:
-            self.lows.append(self.lows[-1] * 100 // self.t + 1)
-        return int(np.searchsorted(self.lows, n, side="right")) - 1
+        self.t, self.hot, lows = t, hot, [1]
+        while lows[-1] < 1 << 40:
+            lows.append(lows[-1] * 100 // t + 1)
+        self.lows = np.array(lows, np.int64)
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        j, out = self.interval(len(s)), []
+        j, out = int(np.searchsorted(self.lows, len(s), side="right")) - 1, []
         cold = ~self.hot[s >> U(64 - SKETCH_BITS)] if self.hot is not None else np.ones(len(s), bool)
         for scheme in (j, j + 1):
-            self.interval(self.lows[-1])  # the next begin as well
-            hi = self.lows[scheme + 1] - 1 if scheme + 1 < len(self.lows) else self.lows[scheme] * 100 // self.t
+            hi = int(self.lows[scheme + 1]) - 1
             differ = 2 * hi * (100 - self.t) // (100 + self.t)
             m = differ + 3 + ceil(differ / 30)
             x = C.mix(s ^ scaled(C.M2, scheme + 1))

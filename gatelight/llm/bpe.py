@@ -55,6 +55,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.n_ranks = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         keys, made = [], []
         for token, r in ranks.items():  # all pairs of tokens that make a token
@@ -103,7 +104,7 @@ class MergeReplay:
         now[:n] = self.pair(tok[:n], tok[1:])
         first = np.flatnonzero(now >= 0)
         first = first[np.argsort(now[first], kind="stable")]
-        cuts = np.searchsorted(now[first], np.arange(len(self.ranks) + 1)).tolist()
+        cuts = np.searchsorted(now[first], np.arange(self.n_ranks + 1)).tolist()
         later: dict[int, list[int]] = {}
 
         def merge(p: np.ndarray, r) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ class MergeReplay:
                 r, x = min(ready)
                 merge(np.array([x]), r)
 
-        for r in range(len(self.ranks)):
+        for r in range(self.n_ranks):
             lo, hi = cuts[r], cuts[r + 1]
             if r in later:
                 p = np.array(later.pop(r))

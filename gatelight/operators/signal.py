@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def _each(kind: str, f):
@@ -109,7 +110,7 @@ def match_rms(x: np.ndarray, like: np.ndarray) -> np.ndarray:
     return (y * min(1.0, 0.99 / top) if top else y).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def rms_match(x: pd.Series, like: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else match_rms(np.asarray(a), np.asarray(b)) for a, b in zip(x, like, strict=True)])
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructType
 
 from gatelight.operators.relational import keep_last
 
@@ -100,12 +100,12 @@ def encode_wav(samples, rate: int = 16000) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def wav_samples(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_wav(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wav_bytes(samples: pd.Series) -> pd.Series:
     return samples.map(lambda x: None if x is None else encode_wav(x))
 

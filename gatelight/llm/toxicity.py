@@ -40,6 +40,11 @@ class Link(NamedTuple):
         return sigmoid(x @ self.words + before @ self.earlier + self.bias)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """32 bits of a hash, which is what features go by."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -55,18 +60,19 @@ def presence(h: np.ndarray, counts: np.ndarray, vocab: np.ndarray) -> np.ndarray
 
 
 def telling_words(h: np.ndarray, counts: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """The words whose presence differs most between the classes, by z score; sorted."""
+    """The words of three texts or more whose presence differs most between the classes, by z score;
+    sorted. A text's words are distinct."""
     if not len(h) or y.min() == y.max():
-        return np.zeros(0, np.uint64)
-    vocab, inverse = np.unique(h, return_inverse=True)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    pairs = np.unique(inverse.astype(np.int64) * len(counts) + doc)
-    word, label = pairs // len(counts), y[pairs % len(counts)]
+        return np.zeros(0, np.uint32)
+    every, own = np.sort(h), np.sort(h[np.repeat(y == 1, counts)])
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    c = np.diff(np.append(at, len(every)))
+    vocab, c = every[at[c >= 3]], c[c >= 3].astype(float)
+    del every
+    c1 = (np.searchsorted(own, vocab, side="right") - np.searchsorted(own, vocab)).astype(float)
     n1, n0 = y.sum(), (1 - y).sum()
-    c1, c = np.bincount(word, weights=label, minlength=len(vocab)), np.bincount(word, minlength=len(vocab))
     p = (c + 1) / (n1 + n0 + 2)
     z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[c < 3] = 0
     return np.sort(vocab[np.argsort(-z, kind="stable")[:limit]])
 
 
@@ -111,7 +117,7 @@ def fit_link(h, counts, before, y, max_words) -> Link:
     """One category's model; with one class only, its constant."""
     k = before.shape[1]
     if not len(y) or y.min() == y.max():
-        return Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), 30.0 if len(y) and y[0] else -30.0)
+        return Link(np.zeros(0, np.uint32), np.zeros(0), np.zeros(k), 30.0 if len(y) and y[0] else -30.0)
     vocab = telling_words(h, counts, y, max_words)
     w, bias = fit_logistic(np.hstack([presence(h, counts, vocab), before.astype(np.float32)]), y)
     return Link(vocab, w[: len(vocab)], w[len(vocab) :], bias)
@@ -152,15 +158,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_c
         words = C.Tokenizer("plain", STEMS)
         for batch in batches:
             for part in C.text_slices(batch, "text"):
-                blobs = [np.unique(words([t])[0]).tobytes() for t in part.column(0).to_pylist()]
+                blobs = [np.unique(short(words([t])[0])).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *part.columns[1:]], names=["h", *(f"y{i}" for i in range(len(categories)))])
 
     rows = sample.select("text", *[f"__gl_{c}" for c in categories]).mapInArrow(run, f"h binary, {kinds}").toArrow()
     blobs = rows["h"].to_pylist()
     y = np.stack([rows[f"y{i}"].to_numpy() for i in range(len(categories))], 1) if blobs else np.zeros((0, len(categories)), int)
     order = sorted(range(len(blobs)), key=lambda i: blobs[i])  # the same model whatever the rows' order
-    h = np.frombuffer(b"".join(blobs[i] for i in order), np.uint64)
-    return fit_chain(h, np.array([len(blobs[i]) // 8 for i in order], np.int64), (y[order] != 0).astype(int))
+    counts = np.array([len(blobs[i]) // 4 for i in order], np.int64)
+    h = np.frombuffer(b"".join(blobs[i] for i in order), np.uint32)
+    del blobs, rows
+    return fit_chain(h, counts, (y[order] != 0).astype(int))
 
 
 def score_toxicity(docs: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text") -> DataFrame:
@@ -179,6 +187,7 @@ def score_toxicity(docs: DataFrame, chain: list[Link], categories: list[str], te
             col = batch.schema.get_field_index(text_col)
             for part in C.text_slices(batch, text_col):
                 h, counts = words(part.column(col).cast(pa.binary()).to_pylist())
+                h = short(h)
                 before = np.zeros((part.num_rows, 0))
                 for link in chain:
                     before = np.hstack([before, link.prob(presence(h, counts, link.vocab), before)[:, None]])

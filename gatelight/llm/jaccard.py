@@ -17,7 +17,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelight.llm import common as C
@@ -321,7 +321,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rest = part.select(["root", "rep", "copies", "tiles", "tile"]).take(pa.array(fine, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([got[i].tobytes() for i in fine], pa.binary())], names=[*rest.schema.names, "shingles"])
 
-    texts = base.join(members.withColumnRenamed("rep", "id"), "id").select("root", F.col("id").alias("rep"), "copies", "tiles", "tile", "d1", "d2", "text")
+    # never a broadcast: members grow with the corpus, and the plan is the same at every size
+    texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select("root", F.col("id").alias("rep"), "copies", "tiles", "tile", "d1", "d2", "text")
     sets = texts.mapInArrow(build, "root long, rep long, copies long, tiles int, tile int, shingles binary")
     pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = sets.select("root", "rep", "copies", "tile", pair.alias("other"), "shingles").select("root", "rep", "copies", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
@@ -374,11 +375,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """`docs`, columns unchanged, with the row of the least id of each component; of several rows of
     that id one stays. Rows without id or shingles stay."""
     comp = join_components(docs, id_col, text_col, k, t)
-    gone = comp.where("doc_id <> component_id").select(F.col("doc_id").alias("__gl_gone")).distinct()
-    out = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gl_gone"), "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__gl_gone")).count().where("count > 1").select("__gl_gone")
-    several = out.join(twice, F.col(f"`{id_col}`") == F.col("__gl_gone"), "left_semi").dropDuplicates([id_col])
-    return out.join(twice, F.col(f"`{id_col}`") == F.col("__gl_gone"), "left_anti").unionByName(several)
+    keep = comp.where("doc_id = component_id").select(F.col("doc_id").alias("__gl_keep")).distinct()
+    own = docs.withColumn("__gl_id", F.col(f"`{id_col}`").cast("long"))
+    # one exchange of the texts: the window takes the join's partitioning; rows without id are apart
+    live = own.where("__gl_id is not null").join(keep.hint("merge"), F.col("__gl_id") == F.col("__gl_keep"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__gl_id").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
+    live = live.withColumn("__gl_nth", first).where("__gl_nth = 1").drop("__gl_nth")
+    return live.unionByName(own.where("__gl_id is null")).drop("__gl_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

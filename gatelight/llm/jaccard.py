@@ -2,9 +2,11 @@
 
 Equal sets are one class. Two sets over the threshold differ in few shingles, so of slightly more
 parts than that, cut by hash, one at least is the same in both: classes that share a part's
-signature come into one cluster, and no link leads out of a cluster. A cluster's sets then meet in a
-task, large clusters in pairs of tiles, where an index of rare-first prefixes with blocks by
-position is skipped along, and answers of a set are derived from those of a highly similar pivot.
+signature come into one cluster, and no link leads out of a cluster. Sizes are cut into intervals,
+and clusters are formed for each interval by itself: of its own sets, and of those of the interval
+below that may link with them. A cluster's sets then meet in a task, large clusters in pairs of
+tiles, where an index of rare-first prefixes with blocks by position is skipped along, and answers
+of a set are derived from those of a highly similar pivot.
 
 Parts that hold only very frequent shingles (by counts over all documents, in a table of fixed size)
 prove little; they are signatures only for sets with so many of them that the argument needs them.
@@ -81,8 +83,12 @@ class Parts:
             lows.append(lows[-1] * 100 // t + 1)
         self.lows = np.array(lows, np.int64)
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        j, out = int(np.searchsorted(self.lows, len(s), side="right")) - 1, []
+    def interval(self, sizes):
+        return np.searchsorted(self.lows, sizes, side="right") - 1
+
+    def __call__(self, s: np.ndarray) -> list[np.ndarray]:
+        """The signatures for the own interval, and those for the next."""
+        j, out = int(self.interval(len(s))), []
         cold = ~self.hot[s >> U(64 - SKETCH_BITS)] if self.hot is not None else np.ones(len(s), bool)
         for scheme in (j, j + 1):
             hi = int(self.lows[scheme + 1]) - 1
@@ -100,7 +106,7 @@ class Parts:
             else:
                 sums, label = sums[good], label[good]
             out.append(C.mix(sums + label * C.M1 + scaled(C.M2, scheme)))
-        return np.concatenate(out)
+        return out
 
 
 def linked(overlap, nx, ny, t: int):
@@ -108,10 +114,11 @@ def linked(overlap, nx, ny, t: int):
     return (100 + t) * overlap >= t * (nx + ny)
 
 
-def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None) -> list[np.ndarray]:
+def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None, counts=None) -> list[np.ndarray]:
     """For each set the numbers of the other sets that it links with.
 
-    With `left`, only links between a set of the left and one of the others count (a pair of tiles).
+    With `left`, only links between a set of the left and one of the others count (a pair of tiles);
+    with `counts`, only those with the sets that counts(x) marks for set x.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -147,7 +154,7 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None) ->
     entry_set, entry_pos, entry_token = entry_set[order], entry_pos[order], entry_token[order]
     key = entry_token * (1 << 24) + entry_pos // 8
 
-    def candidates(x: int) -> np.ndarray:
+    def candidates(x: int, fair: np.ndarray) -> np.ndarray:
         n, p = int(sizes[x]), int(prefix[x])
         top = rows[x][:p]
         most = n * 100 // t
@@ -160,12 +167,15 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None) ->
         y, i = entry_set[at], np.repeat(np.arange(p), take)
         ny = sizes[y]
         room = 1 + np.minimum(n - i - 1, ny - entry_pos[at] - 1)
-        fits = linked(np.minimum(n, ny), n, ny, t) & ((100 + t) * room >= t * (n + ny)) & (y != x)
+        fits = linked(np.minimum(n, ny), n, ny, t) & ((100 + t) * room >= t * (n + ny)) & fair[y] & (y != x)
         return np.unique(y[fits])
 
     pivots: list[tuple[int, np.ndarray]] = []  # sets with their intersections with all sets
     for x in range(m):
         n = int(sizes[x])
+        fair = np.ones(m, bool) if counts is None else counts(x)
+        if left is not None:
+            fair = fair & (left != left[x])
         done = False
         for pivot, got in reversed(pivots[-4:]):
             only_x, only_pivot = n - int(got[x]), int(sizes[pivot] - got[x])
@@ -173,14 +183,14 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None) ->
                 continue
             low, high = got - only_pivot, np.minimum(got + only_x, n)
             sure = linked(low, n, sizes, t)
-            open_ = np.flatnonzero(linked(high, n, sizes, t) & ~sure)
+            open_ = np.flatnonzero(linked(high, n, sizes, t) & ~sure & fair)
             if len(open_) <= max(8, m // 2):
                 if len(open_):
                     sure[open_] = linked(overlaps(x, open_), n, sizes[open_], t)
                 hit, done = sure, True
                 break
         if not done:
-            y = candidates(x)
+            y = candidates(x, fair)
             hit = np.zeros(m, bool)
             if len(y) > 8:
                 got = overlaps(x, None)
@@ -189,8 +199,7 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None) ->
             elif len(y):
                 hit[y] = linked(overlaps(x, y), n, sizes[y], t)
         hit[x] = False
-        if left is not None:
-            hit &= left != left[x]
+        hit &= fair
         out[x] = np.flatnonzero(hit)
     return out
 
@@ -238,7 +247,11 @@ def _hot(facts: DataFrame) -> np.ndarray:
 
 
 def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: int) -> DataFrame:
-    """(node, root): d1 of the classes that share a signature with another one, and their cluster."""
+    """(node, root): of the classes that share a signature with another one, and their cluster.
+
+    A class is two nodes: d1 with the last bit set in its own interval's clusters, with the last bit
+    unset in the next one's. Signatures that no set of the interval itself has join nothing.
+    """
     buckets = C.n_parts(n_signatures, GROUP_ENTRIES)
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(hot).tobytes())
 
@@ -262,9 +275,10 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
                     if len(s) and (node := digests(s)[0]) not in seen:  # equal sets sign once in a task
                         if len(seen) < 1_000_000:
                             seen.add(node)
-                        sigs.append(parts(s))
-                        nodes.append(np.full(len(sigs[-1]), node))
-                        size += len(sigs[-1])
+                        for x, name in zip(parts(s), (node | 1, node & ~1), strict=True):
+                            sigs.append(x)
+                            nodes.append(np.full(len(x), name))
+                            size += len(x)
                 if size > 1_000_000:
                     yield flush()
                     sigs, nodes, size = [], [], 0
@@ -272,7 +286,7 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Edges along the classes of each signature."""
+        """Edges along the nodes of each signature."""
         sig, node = [], []
         for blob in t.column("blob").to_pylist():
             n = len(blob) // 16
@@ -281,7 +295,9 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
         sig, node = np.concatenate(sig), np.concatenate(node)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
-        at = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        own = np.repeat(np.maximum.reduceat(node & 1, first) > 0, np.diff(np.append(first, len(sig))))
+        at = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]) & own[1:])
         pairs = np.unique(np.stack([node[at], node[at + 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -306,10 +322,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = live.agg(F.sum("n")).first()[0] or 0
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     roots = _clusters(base.where("id is not null"), k, t, hot, int(total * 0.4))
-    members = classes.join(roots, F.col("d1") == F.col("node")).drop("node")
+    sides = F.explode(F.array(F.struct(F.expr("d1 | 1L").alias("node"), F.lit(True).alias("own")), F.struct(F.expr("d1 & ~1L").alias("node"), F.lit(False).alias("own"))))
+    members = classes.select("*", sides.alias("side")).select("rep", "d1", "d2", "copies", "n", "side.*").join(roots, "node").drop("node")
     sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     members = members.join(sums, "root").withColumn("tiles", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"))
-    members = C.materialize(members.withColumn("tile", F.pmod(F.xxhash64("d1"), F.col("tiles")).cast("int")).select("root", "rep", "d1", "d2", "copies", "tiles", "tile"))
+    place = F.struct("root", "own", "tiles", F.pmod(F.xxhash64("d1"), F.col("tiles")).cast("int").alias("tile"))
+    members = C.materialize(members.groupBy("rep", "d1", "d2", "copies").agg(F.collect_list(place).alias("places")))  # two at most
 
     def build(batches):
         sets = Sets(k)
@@ -318,26 +336,37 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 got = sets(part.column(batch.schema.get_field_index("text")).to_pylist())
                 d1, d2 = part.column(batch.schema.get_field_index("d1")).to_pylist(), part.column(batch.schema.get_field_index("d2")).to_pylist()
                 fine = [i for i, s in enumerate(got) if len(s) and digests(s) == (d1[i], d2[i])]  # an id may have other texts
-                rest = part.select(["root", "rep", "copies", "tiles", "tile"]).take(pa.array(fine, pa.int64()))
+                rest = part.select(["rep", "copies", "places"]).take(pa.array(fine, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([got[i].tobytes() for i in fine], pa.binary())], names=[*rest.schema.names, "shingles"])
 
     # never a broadcast: members grow with the corpus, and the plan is the same at every size
-    texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select("root", F.col("id").alias("rep"), "copies", "tiles", "tile", "d1", "d2", "text")
-    sets = texts.mapInArrow(build, "root long, rep long, copies long, tiles int, tile int, shingles binary")
+    texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select(F.col("id").alias("rep"), "copies", "places", "d1", "d2", "text")
+    sets = texts.mapInArrow(build, "rep long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
+    sets = sets.select("rep", "copies", F.explode("places").alias("place"), "shingles").select("rep", "copies", "place.*", "shingles")
     pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = sets.select("root", "rep", "copies", "tile", pair.alias("other"), "shingles").select("root", "rep", "copies", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
+    dealt = sets.select("root", "rep", "copies", "own", "tile", pair.alias("other"), "shingles").select("root", "rep", "copies", "own", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
+
+    intervals = Parts(t, None)
 
     def links(g: pa.Table) -> pa.Table:
         """Edges (a, b), and rows (a, null) with the number of linked rows in `n`."""
         rep = g.column("rep").to_numpy()
-        _, first = np.unique(rep, return_index=True)  # repeated rows
+        _, first, which = np.unique(rep, return_index=True, return_inverse=True)  # repeated rows
+        own = np.zeros(len(first), bool)
+        np.logical_or.at(own, which, g.column("own").to_numpy())
         blobs = g.column("shingles")
         sets = [np.frombuffer(blobs[int(i)].as_py(), U) for i in first]
         order = np.lexsort((rep[first], [len(s) for s in sets]))
-        sets, first = [sets[i] for i in order], first[order]
+        sets, first, own = [sets[i] for i in order], first[order], own[order]
+        level = intervals.interval(np.array([len(s) for s in sets]))
         rep, copies, tile = rep[first], g.column("copies").to_numpy()[first], g.column("tile").to_numpy()[first]
         cross = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-        found = join_sets(sets, t, tile if cross else None)
+
+        def counts(x):
+            """Each link counts in one cluster: that of the larger set's interval."""
+            return np.where(level == level[x], own & own[x], np.where(level > level[x], own, own[x]))
+
+        found = join_sets(sets, t, tile if cross else None, counts)
         parent = np.arange(len(rep))  # edges as a forest
 
         def top(x):

@@ -8,8 +8,8 @@ below that may link with them. A cluster's sets then meet in a task, large clust
 tiles, where an index of rare-first prefixes with blocks by position is skipped along, and answers
 of a set are derived from those of a highly similar pivot.
 
-Parts that hold only very frequent shingles (by counts over all documents, in a table of fixed size)
-prove little; they are signatures only for sets with so many of them that the argument needs them.
+Parts that hold few shingles, or only very frequent ones (by counts over all documents, in a table of
+fixed size), prove little; there are some more parts than needed, so that the weakest can go.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SLICES = 64
 HOT_TIMES, HOT_LEAST = 3, 64
 #: Text bytes and signatures of a group, shingles of a tile.
 GROUP_ENTRIES = 600_000
-TILE_SHINGLES = 3_000_000
+TILE_SHINGLES = 1_500_000
 
 U = np.uint64
 
@@ -74,7 +74,9 @@ class Parts:
     Sizes fall into intervals, each but the first beginning over 1/t of the former's begin, so that linked sets lie in
     the same interval or in adjacent ones; a set signs for its own interval and as the smaller side
     for the next. With both sizes up to `hi` the sets differ in at most d = 2 hi (100 - t) / (100 + t)
-    shingles; of m parts then at least m - d are the same.
+    shingles; of m parts then at least m - d are the same. A set signs by d + 1 parts, those with the
+    most shingles that aren't frequent, in an order by content: the first in it of the parts that are
+    the same stands before m - d - 1 others on both sides, so both sign by it.
     """
 
     def __init__(self, t: int, hot: np.ndarray | None):
@@ -93,18 +95,16 @@ class Parts:
         for scheme in (j, j + 1):
             hi = int(self.lows[scheme + 1]) - 1
             differ = 2 * hi * (100 - self.t) // (100 + self.t)
-            m = differ + 3 + ceil(differ / 30)
+            m = differ + 3 + ceil(differ / 8)
             x = C.mix(s ^ scaled(C.M2, scheme + 1))
             part = ((x >> U(32)) * U(m)) >> U(32)
             order = np.argsort(part, kind="stable")
             part, x, own = part[order], C.mix(x)[order], cold[order]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            good = np.add.reduceat(own.astype(np.int64), at) > 0
-            sums, label = np.add.reduceat(x, at), part[at]
-            if m - np.count_nonzero(good) >= m - differ:  # the parts that are the same may all be others
-                sums, label = np.append(sums, np.zeros(m - len(at), U)), np.append(label, np.setdiff1d(np.arange(m, dtype=U), label))
-            else:
-                sums, label = sums[good], label[good]
+            telling, sums = np.zeros(m, np.int64), np.zeros(m, U)
+            telling[part[at]], sums[part[at]] = np.add.reduceat(own.astype(np.int64), at), np.add.reduceat(x, at)
+            label = np.lexsort((np.arange(m), sums, -telling))[: differ + 1].astype(U)
+            sums = sums[label]
             out.append(C.mix(sums + label * C.M1 + scaled(C.M2, scheme)))
         return out
 

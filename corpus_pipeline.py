@@ -37,7 +37,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = bpe.tokenizer()
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern), path)
+    out = bpe.bpe_round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(common.octets("text"), F.lit(b""))
     return out.withColumn("round_trip", same).drop("decoded")
 

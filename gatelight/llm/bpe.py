@@ -28,6 +28,9 @@ MAX_RANKS_BYTES = 64 << 20
 #: Units whose ids a worker remembers before it starts anew with the next batch.
 CACHE_UNITS = 300_000
 
+#: Bytes of distinct words that one replay takes, and pairs looked up at once.
+REPLAY_BYTES, LOOKUP = 1 << 20, 1 << 18
+
 #: Before a single space between other characters a match of the split pattern always ends, as only
 #: an optional leading space of a match can take it up. Patterns of the GPT-2 family have this form.
 _UNIT = re.compile(r"(?<=\S)(?= \S)")
@@ -56,7 +59,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.n_ranks = max(ranks.values()) + 1
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, made = [], []
         for token, r in ranks.items():  # all pairs of tokens that make a token
             for cut in range(1, len(token)):
@@ -65,12 +68,12 @@ class MergeReplay:
                     keys.append(a << 32 | b)
                     made.append(r)
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.made = np.array([*keys, 0], np.int64)[[*order, -1]], np.array([*made, -1], np.int64)[[*order, -1]]
+        self.keys, self.made = np.array([*keys, 0], np.int64)[[*order, -1]], np.array([*made, -1], np.int32)[[*order, -1]]
         self.keys[-1] = np.iinfo(np.int64).max
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that a and b make, or -1."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.keys, key)
         made = self.made[at]
         made[self.keys[at] != key] = -1  # keys with an end mark are negative and never found
@@ -86,22 +89,31 @@ class MergeReplay:
                 which.append(i)
             else:
                 out[i] = whole.to_bytes(4, "little")
-        if not which:
-            return out
+        at, room = 0, REPLAY_BYTES
+        for i, word in enumerate(which):
+            room -= len(words[word])
+            if room <= 0 or i == len(which) - 1:
+                self._replay(words, which[at : i + 1], out)
+                at, room = i + 1, REPLAY_BYTES
+        return out
+
+    def _replay(self, words: list[bytes], which: list[int], out: list) -> None:
+        """Put the ids of those words into out."""
         raw = [words[i] for i in which]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         stops = np.cumsum(sizes) - 1  # a -1 ends each word
         buf = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-        tok = self.byte[buf]
+        n = len(buf)
+        tok = np.full(n + 1, -1, np.int32)
+        tok[:n] = self.byte[buf]
         tok[stops] = -1
-        n = len(tok)
         starts = np.concatenate(([0], stops[:-1] + 1))
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
-        prv[starts] = n  # tok[n] is -1 as well
-        tok = np.append(tok, -1)
-        nxt, prv = np.append(nxt, n), np.append(prv, n)
-        now = np.full(n + 1, -1, np.int64)  # rank of the pair that begins here
-        now[:n] = self.pair(tok[:n], tok[1:])
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        prv[starts] = nxt[n] = prv[n] = n  # tok[n] is -1 as well
+        now = np.full(n + 1, -1, np.int32)  # rank of the pair that begins here
+        for at in range(0, n, LOOKUP):
+            to = min(n, at + LOOKUP)
+            now[at:to] = self.pair(tok[at:to], tok[at + 1 : to + 1])
         first = np.flatnonzero(now >= 0)
         first = first[np.argsort(now[first], kind="stable")]
         cuts = np.searchsorted(now[first], np.arange(self.n_ranks + 1)).tolist()
@@ -171,7 +183,10 @@ class MergeReplay:
         for i, end in zip(which, to, strict=True):
             out[i] = ids[at:end]
             at = end
-        return out
+
+
+_IDS = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
+_BYTES = T.StructField("decoded", T.BinaryType())
 
 
 def _ranks_of(spark: SparkSession, ranks_path: str):
@@ -189,9 +204,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     has no tokens. Columns of these names in `docs` are replaced; rows, repeated ones too, stay one
     to one and other columns are passed through. An empty table gives an empty result.
     """
-    held = _ranks_of(docs.sparkSession, ranks_path)
     base = C.replace_columns(docs, ["n_tokens", "token_ids"])
-    schema = T.StructType([*base.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
+    return base.mapInArrow(_encoding(_ranks_of(docs.sparkSession, ranks_path), pattern, text_col), T.StructType([*base.schema.fields, *_IDS]))
+
+
+def _encoding(held, pattern: str, text_col: str):
+    """The function that appends n_tokens and token_ids to batches."""
 
     def run(batches):
         replay, split = MergeReplay(read_ranks(held.value)), regex.compile(pattern)
@@ -229,7 +247,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
                     names=[*part.schema.names, "n_tokens", "token_ids"],
                 )
 
-    return base.mapInArrow(run, schema)
+    return run
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -237,9 +255,12 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids")
 
     Ids outside the ranks raise. A column named decoded is replaced; other columns are kept.
     """
-    held = _ranks_of(encoded.sparkSession, ranks_path)
     base = C.replace_columns(encoded, ["decoded"])
-    schema = T.StructType([*base.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return base.mapInArrow(_decoding(_ranks_of(encoded.sparkSession, ranks_path), ids_col), T.StructType([*base.schema.fields, _BYTES]))
+
+
+def _decoding(held, ids_col: str):
+    """The function that appends decoded to batches."""
 
     def run(batches):
         tokens = {i: t for t, i in read_ranks(held.value).items()}
@@ -249,7 +270,18 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids")
                 out = [b"".join(map(tokens.__getitem__, np.frombuffer(b, "<u4").tolist())) if b else b"" for b in blobs]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return base.mapInArrow(run, schema)
+    return run
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """`docs` with n_tokens, token_ids and decoded: bpe_decode(bpe_encode()) in one worker a task.
+
+    Cases as for those two.
+    """
+    held = _ranks_of(docs.sparkSession, ranks_path)
+    base = C.replace_columns(docs, ["n_tokens", "token_ids", "decoded"])
+    encode, decode = _encoding(held, pattern, text_col), _decoding(held, "token_ids")
+    return base.mapInArrow(lambda batches: decode(encode(batches)), T.StructType([*base.schema.fields, *_IDS, _BYTES]))
 
 
 def tokenizer() -> tuple[str, str]:
@@ -262,7 +294,6 @@ def tokenizer() -> tuple[str, str]:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_encode(docs, path, pattern).select("doc_id", "n_tokens", "token_ids")
-    return bpe_decode(ids, path).select(
+    return bpe_round_trip(docs, path, pattern).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

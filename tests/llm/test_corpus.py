@@ -140,6 +140,17 @@ def test_bpe_is_tiktoken(spark):
         ids = own.encode_ordinary(texts[r.doc_id] or "")
         assert np.frombuffer(r.token_ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    once = bpe.bpe_round_trip(make_docs(spark, texts), path, pattern).select(out[0].__fields__)
+    assert sorted(once.collect(), key=str) == sorted(out, key=str)
+
+
+def test_merge_replay_in_pieces(monkeypatch):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 299, b"abc": 300}
+    words = [b"abcab", b"x" * 9, b"ab", b"cab", b"abab"]
+    whole = bpe.MergeReplay(ranks).encode(words)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 4)
+    monkeypatch.setattr(bpe, "LOOKUP", 2)
+    assert bpe.MergeReplay(ranks).encode(words) == whole
 
 
 def test_merge_replay_order():

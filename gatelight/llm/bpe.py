@@ -281,7 +281,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     held = _ranks_of(docs.sparkSession, ranks_path)
     base = C.replace_columns(docs, ["n_tokens", "token_ids", "decoded"])
     encode, decode = _encoding(held, pattern, text_col), _decoding(held, "token_ids")
-    return base.mapInArrow(lambda batches: decode(encode(batches)), T.StructType([*base.schema.fields, *_IDS, _BYTES]))
+    return base.mapInArrow(C.streaming(lambda batches: decode(encode(batches))), T.StructType([*base.schema.fields, *_IDS, _BYTES]))
 
 
 def tokenizer() -> tuple[str, str]:

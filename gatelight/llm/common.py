@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -49,6 +50,52 @@ def octets(col: str) -> Column:
     return F.col(col).cast("binary")
 
 
+#: Input bytes of a group from which the freed memory is given back after it.
+LARGE_GROUP = 1 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers live on, and would hold what they once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def streaming(f):
+    """`f` for mapInArrow, giving its memory back at the end."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def grouped(f):
+    """`f` for applyInArrow over a group, giving its memory back after a large one."""
+
+    def run(t):
+        out = f(t)
+        if t.nbytes > LARGE_GROUP:
+            give_back()
+        return out
+
+    return run
+
+
+def cogrouped(f):
+    """`grouped` for two tables."""
+
+    def run(t, back):
+        out = f(t, back)
+        if t.nbytes + back.nbytes > LARGE_GROUP:
+            give_back()
+        return out
+
+    return run
+
+
 def text_slices(batch: pa.RecordBatch | pa.Table, text_col: str, limit: int = CHUNK_BYTES):
     """Consecutive row slices of at most `limit` text bytes, one row at least."""
     n = batch.num_rows

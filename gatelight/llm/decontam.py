@@ -153,7 +153,7 @@ def _tag(docs: DataFrame, items: list, min_tile: int, threshold: float, text_col
                         found[d] = index.matches(h[edges[d] : edges[d + 1]], at[own == d] - edges[d], threshold)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "__gl_pairs"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.streaming(run), schema)
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

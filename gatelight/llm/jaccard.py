@@ -226,7 +226,7 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), none, none, none, pa.array(blobs, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, blob binary")
+    return docs.mapInArrow(C.streaming(run), "kind int, id long, n long, d1 long, d2 long, blob binary")
 
 
 def _hot(facts: DataFrame) -> np.ndarray:
@@ -301,7 +301,7 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
         pairs = np.unique(np.stack([node[at], node[at + 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    edges = docs.mapInArrow(sign, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    edges = docs.mapInArrow(C.streaming(sign), "bucket int, blob binary").groupBy("bucket").applyInArrow(C.grouped(meet), "a long, b long")
     return connected_components(edges)
 
 
@@ -341,7 +341,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # never a broadcast: members grow with the corpus, and the plan is the same at every size
     texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select(F.col("id").alias("rep"), "copies", "places", "d1", "d2", "text")
-    sets = texts.mapInArrow(build, "rep long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
+    sets = texts.mapInArrow(C.streaming(build), "rep long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
     sets = sets.select("rep", "copies", F.explode("places").alias("place"), "shingles").select("rep", "copies", "place.*", "shingles")
     pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = sets.select("root", "rep", "copies", "own", "tile", pair.alias("other"), "shingles").select("root", "rep", "copies", "own", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
@@ -389,7 +389,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     n.append(0)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-    found = C.materialize(dealt.groupBy("root", "i", "j").applyInArrow(links, "a long, b long, n long"))
+    found = C.materialize(dealt.groupBy("root", "i", "j").applyInArrow(C.grouped(links), "a long, b long, n long"))
     comp = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_other"))
     classes = classes.join(comp, "rep", "left").join(counts, "rep", "left").select(

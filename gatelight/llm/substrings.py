@@ -47,7 +47,7 @@ def census(docs: DataFrame) -> tuple[int, np.ndarray]:
                 bins += np.bincount((words(texts)[0] & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS + 1), pa.int32()), pa.array([*bins.tolist(), size], pa.int64())], names=["bin", "n"])
 
-    rows = docs.select("__gl_text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("__gl_text").mapInArrow(C.streaming(run), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BINS + 1, np.int64)
     for r in rows:
         out[r["bin"]] = r["n"]
@@ -240,10 +240,10 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *[f for f in base.schema.fields if f.name in names], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("removed", span_type),
     ])
-    hot = dealt.applyInArrow(anchors, ROWS).groupBy("bucket").applyInArrow(repeated, ROWS)
-    parts = dealt.cogroup(hot.groupBy("block")).applyInArrow(leaves, ROWS)
-    nodes = parts.groupBy("bucket").applyInArrow(deep_nodes, ROWS)
-    return dealt.cogroup(nodes.groupBy("block")).applyInArrow(cover, schema)
+    hot = dealt.applyInArrow(C.grouped(anchors), ROWS).groupBy("bucket").applyInArrow(C.grouped(repeated), ROWS)
+    parts = dealt.cogroup(hot.groupBy("block")).applyInArrow(C.cogrouped(leaves), ROWS)
+    nodes = parts.groupBy("bucket").applyInArrow(C.grouped(deep_nodes), ROWS)
+    return dealt.cogroup(nodes.groupBy("block")).applyInArrow(C.cogrouped(cover), schema)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

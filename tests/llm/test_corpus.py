@@ -246,6 +246,23 @@ def test_neighbours(spark):
     assert hits / (10 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2000, 5000, 8192])
+def test_recall_of_one_shard_with_production_parameters(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    by = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    y, hits = x.astype(float), 0
+    assert set(by) == set(range(0, n, 20)) and all(len(b) == 20 for b in by.values())
+    for q, b in by.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(b & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(by)) >= 0.95
+
+
 def test_license_forms(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, "Copyright (c) 2020 Some One\n" + mit.upper().replace("LICENSE", "LICENCE") + "  ", "# " + mit, "see: " + mit, None, ""]

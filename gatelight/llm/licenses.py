@@ -53,6 +53,37 @@ KNOWN = {
     ),
 }
 
+# Digests of the canonical forms of standard full texts, as distributed (with and without a
+# title or an appendix; a line break before "copyright notice" also takes words away, hence MIT's fourth).
+STANDARD = {
+    "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c": "MIT",
+    "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164": "MIT",
+    "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127": "MIT",
+    "5d01a1651a4c284dfbbf1500c7a5c7abb115387c003fbedd1e4624fe9b90b141": "MIT",
+    "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e": "Apache-2.0",
+    "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d": "Apache-2.0",
+    "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c": "Apache-2.0",
+    "bb9b9809799dde483dd255c759a87cd240b7c00fdd56de34e1e2af5eba9be6f7": "Apache-2.0",
+    "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2": "BSD-3-Clause",
+    "f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af": "BSD-3-Clause",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "bdbb582f0c2008f583f4b5dd15ba1d1e9792eb58d20826dc9d5b97d601e04b37": "GPL-3.0",
+    "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3": "LGPL-2.0",
+    "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142": "GFDL-1.2",
+    "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3": "GFDL-1.3",
+    "a035017dc51084798d78cef84689dd85adf057cac35f2af53d9d0aef5e305ba3": "MPL-1.1",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304": "Artistic-1.0",
+    "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7": "Zlib",
+    "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd": "Unlicense",
+    "c8872bc68de96ac9828c6f8d80528b3802f565f516a1c3319df506e3bc63409d": "Unicode-3.0",
+}
+
 COPYRIGHT_LINE = r"^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: ASCII punctuation and white space.
 GAPS = r"[\x09-\x0D -/:-@\[-`{-~]+"
@@ -67,17 +98,20 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame, text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
     """`docs` with digest (SHA-256 of the canonical text, null for a null text) and license (of the
     known text of the same digest, the least id if several; else null).
 
     `known` has license and text; rows with a null are left out, as are texts of an empty canonical
-    form. An empty text has a digest and no licence. Rows stay one to one; columns of these names
+    form. `digests` has license and digest of further texts. An empty text has a digest and no licence. Rows stay one to one; columns of these names
     are replaced.
     """
     digest = lambda c: F.sha2(canonical(F.col(c)).cast("binary"), 256)
     table = known.where(F.col("license").isNotNull() & (canonical(F.col("text")) != ""))
-    table = table.groupBy(digest("text").alias("__gl_digest")).agg(F.min("license").alias("license"))
+    table = table.select("license", digest("text").alias("__gl_digest"))
+    if digests is not None:
+        table = table.unionByName(digests.select("license", F.col("digest").alias("__gl_digest")))
+    table = table.groupBy("__gl_digest").agg(F.min("license").alias("license"))
     base = C.replace_columns(docs, ["digest", "license"]).withColumn("digest", digest(text_col))
     out = base.join(table, F.col("digest") == F.col("__gl_digest"), "left").drop("__gl_digest")
     return out
@@ -87,9 +121,13 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license string, text string")
 
 
+def standard_digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STANDARD.items()), "digest string, license string")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_licenses(docs, known_licenses(spark)).select("doc_id", "digest", "license")
+    return scan_licenses(docs, known_licenses(spark), digests=standard_digests(spark)).select("doc_id", "digest", "license")
 
 
 def _sql_text(s: str) -> str:

@@ -120,9 +120,9 @@ BUCKET = "CASE WHEN cer <= 0 THEN '=0' WHEN cer < 0.25 THEN '(0,.25)' WHEN cer <
 
 
 @query(f"{P} SELECT b.bucket, count(p.bucket) AS n FROM (VALUES ('=0'), ('(0,.25)'), ('[.25,.5)'), ('[.5,1)'), ('=1')) b(bucket) LEFT JOIN (SELECT {BUCKET} AS bucket FROM pairs) p USING (bucket) GROUP BY b.bucket")
-def cer_histogram(spark, d):
+def cer_histogram(spark, d, pairs=D.pairs):
     bins = spark.createDataFrame([(b,) for b in M.BUCKETS], "bucket string")
-    got = D.pairs(spark, d).groupBy(M.cer_bucket(F.col("cer")).alias("bucket")).count()
+    got = pairs(spark, d).groupBy(M.cer_bucket(F.col("cer")).alias("bucket")).count()
     return bins.join(F.broadcast(got), "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
@@ -132,14 +132,14 @@ def _nearest(p):
 
 @query(f"""{P} SELECT arm, count(*) AS n, round(avg(cer), 6) AS mean, round(stddev_pop(cer), 6) AS std, {_nearest(0.5)} AS p50, {_nearest(0.9)} AS p90, {_nearest(0.95)} AS p95,
  round(count_if(cer = 0)::DOUBLE / count(*), 6) AS exact_rate, round(count_if(cer >= 1)::DOUBLE / count(*), 6) AS full_rate FROM pairs GROUP BY arm""")
-def cer_block(spark, d):
-    return D.pairs(spark, d).groupBy("arm").agg(*M.cer_block(F.col("cer")))
+def cer_block(spark, d, pairs=D.pairs):
+    return pairs(spark, d).groupBy("arm").agg(*M.cer_block(F.col("cer")))
 
 
 @query(f"{P} SELECT arm, list_sort(list(cer))[round_even(0.5 * (count(*) - 1), 0)::INT + 1] AS nearest, list_sort(list(cer))[floor(0.9 * (count(*) - 1))::INT + 1] AS floored, list_sort(list(cer))[count(*) // 2 + 1] AS upper FROM pairs GROUP BY arm")
-def order_statistics(spark, d):
+def order_statistics(spark, d, pairs=D.pairs):
     c = F.col("cer")
-    return D.pairs(spark, d).groupBy("arm").agg(M.at_nearest(c, 0.5).alias("nearest"), M.at_floor(c, 0.9).alias("floored"), M.upper_median(c).alias("upper"))
+    return pairs(spark, d).groupBy("arm").agg(M.at_nearest(c, 0.5).alias("nearest"), M.at_floor(c, 0.9).alias("floored"), M.upper_median(c).alias("upper"))
 
 
 # ---- calibration ----
@@ -306,18 +306,18 @@ def overlay_reasons(spark, d):
 
 # ---- text ----
 @query(f"{P} SELECT conv_id, turn, levenshtein(ref, hyp)::INT AS distance, cer FROM pairs")
-def cer_pairs(spark, d):
-    return D.pairs(spark, d).select("conv_id", "turn", F.levenshtein("ref", "hyp").alias("distance"), "cer")
+def cer_pairs(spark, d, pairs=D.pairs):
+    return pairs(spark, d).select("conv_id", "turn", F.levenshtein("ref", "hyp").alias("distance"), "cer")
 
 
 @query(f"{P} SELECT conv_id, turn, round(CASE WHEN length(ref) = 0 AND length(hyp) = 0 THEN 0.0::DOUBLE WHEN length(ref) = 0 OR length(hyp) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, levenshtein(ref, hyp)::DOUBLE / length(ref)) END, 9) AS ratio FROM pairs")
-def edit_ratio(spark, d):
-    return D.pairs(spark, d).select("conv_id", "turn", F.round(X.edit_ratio(F.col("ref"), F.col("hyp")), 9).alias("ratio"))
+def edit_ratio(spark, d, pairs=D.pairs):
+    return pairs(spark, d).select("conv_id", "turn", F.round(X.edit_ratio(F.col("ref"), F.col("hyp")), 9).alias("ratio"))
 
 
 @query()
-def align_pairs(spark, d):
-    p = D.pairs(spark, d).withColumn("a", X.align("ref", "hyp"))
+def align_pairs(spark, d, pairs=D.pairs):
+    p = pairs(spark, d).withColumn("a", X.align("ref", "hyp"))
     return p.select("conv_id", "turn", "a.*", F.size(X.substitutions(F.col("a.ref_aligned"), F.col("a.hyp_aligned"))).alias("n_sub_pairs"))
 
 
@@ -327,8 +327,8 @@ def normalize_text(spark, d):
 
 
 @query(f"{P}, g AS (SELECT n, substr(ref, i, n) AS gram FROM (SELECT ref, n, unnest(range(1, greatest(length(ref) - n + 2, 1))) AS i FROM pairs CROSS JOIN (VALUES (2), (3)) v(n))) SELECT n, gram, count(*) AS c FROM g GROUP BY n, gram QUALIFY row_number() OVER (PARTITION BY n ORDER BY c DESC, gram) <= 20")
-def ngram_topk(spark, d):
-    p = D.pairs(spark, d)
+def ngram_topk(spark, d, pairs=D.pairs):
+    p = pairs(spark, d)
     one = [p.select(F.lit(n).alias("n"), F.explode(X.ngrams(F.col("ref"), n)).alias("gram")) for n in (2, 3)]
     counts = one[0].union(one[1]).groupBy("n", "gram").agg(F.count("*").alias("c"))
     return J.per_group(counts, ["n"], [F.desc("c"), F.asc("gram")], 20).select("n", "gram", "c")
@@ -381,56 +381,56 @@ def text_languages(spark, d):
 
 # ---- recognition analysis ----
 @query(f"{P} SELECT conv_id, min(cer) AS cer, arg_min(arm, (cer, arm, stream, turn)) AS arm, arg_min(stream, (cer, arm, stream, turn)) AS stream FROM pairs GROUP BY conv_id")
-def oracle_stream(spark, d):
+def oracle_stream(spark, d, pairs=D.pairs):
     best = F.min(F.struct("cer", "arm", "stream", "turn")).alias("b")
-    return D.pairs(spark, d).groupBy("conv_id").agg(best).select("conv_id", "b.cer", "b.arm", "b.stream")
+    return pairs(spark, d).groupBy("conv_id").agg(best).select("conv_id", "b.cer", "b.arm", "b.stream")
 
 
 @query(f"{P} SELECT conv_id, max(cer) AS cer, arg_max(stream, (cer, stream, turn)) AS stream FROM pairs GROUP BY conv_id")
-def worst_stream(spark, d):
-    return D.pairs(spark, d).groupBy("conv_id").agg(F.max(F.struct("cer", "stream", "turn")).alias("b")).select("conv_id", "b.cer", "b.stream")
+def worst_stream(spark, d, pairs=D.pairs):
+    return pairs(spark, d).groupBy("conv_id").agg(F.max(F.struct("cer", "stream", "turn")).alias("b")).select("conv_id", "b.cer", "b.stream")
 
 
 PIVOT = "u AS (SELECT conv_id, min(cer) FILTER (arm = 'no_sep') AS mix, min(cer) FILTER (arm = 'sep_once') AS sep_once, min(cer) FILTER (arm = 'sep_multi') AS sep_multi, min(cer) AS best FROM pairs GROUP BY conv_id)"
 
 
-def _pivot(spark, d):
+def _pivot(spark, d, pairs):
     arm = lambda a: F.min(F.when(F.col("arm") == a, F.col("cer")))
-    return D.pairs(spark, d).groupBy("conv_id").agg(arm("no_sep").alias("mix"), arm("sep_once").alias("sep_once"), arm("sep_multi").alias("sep_multi"), F.min("cer").alias("best"))
+    return pairs(spark, d).groupBy("conv_id").agg(arm("no_sep").alias("mix"), arm("sep_once").alias("sep_once"), arm("sep_multi").alias("sep_multi"), F.min("cer").alias("best"))
 
 
 @query(f"{P}, {PIVOT} SELECT *, round(mix - best, 6) AS gain FROM u")
-def utterance_pivot(spark, d):
-    return _pivot(spark, d).withColumn("gain", F.round(F.col("mix") - F.col("best"), 6))
+def utterance_pivot(spark, d, pairs=D.pairs):
+    return _pivot(spark, d, pairs).withColumn("gain", F.round(F.col("mix") - F.col("best"), 6))
 
 
 @query(f"{P}, {PIVOT}, c AS (SELECT sep_multi - mix AS x FROM u WHERE mix IS NOT NULL AND sep_multi IS NOT NULL) SELECT count_if(x < -1e-9) AS win, count_if(abs(x) <= 1e-9) AS tie, count_if(x > 1e-9) AS lose, round(avg(x), 6) AS mean_delta, round(avg(CASE WHEN x < -1e-9 THEN x END), 6) AS mean_win, round(avg(CASE WHEN x > 1e-9 THEN x END), 6) AS mean_lose FROM c")
-def paired_compare(spark, d):
+def paired_compare(spark, d, pairs=D.pairs):
     x = F.col("x")
-    c = _pivot(spark, d).select((F.col("sep_multi") - F.col("mix")).alias("x")).where("x is not null")
+    c = _pivot(spark, d, pairs).select((F.col("sep_multi") - F.col("mix")).alias("x")).where("x is not null")
     return c.agg(F.count_if(x < -1e-9).alias("win"), F.count_if(F.abs(x) <= 1e-9).alias("tie"), F.count_if(x > 1e-9).alias("lose"), F.round(F.avg(x), 6).alias("mean_delta"), F.round(F.avg(F.when(x < -1e-9, x)), 6).alias("mean_win"), F.round(F.avg(F.when(x > 1e-9, x)), 6).alias("mean_lose"))
 
 
 @query(f"{P}, s AS (SELECT conv_id, arm, bool_and(length(hyp) < 60) AS all_short, bool_or(length(hyp) < 60) AS any_short, avg(length(hyp)) AS l, count(*) AS n FROM pairs GROUP BY ALL) SELECT arm, sum(n)::BIGINT AS n, count(*) AS utts, count_if(all_short) AS n_all, count_if(any_short) AS n_any, round(avg(l), 6) AS mean_len FROM s GROUP BY arm")
-def neg_arm_stats(spark, d):
+def neg_arm_stats(spark, d, pairs=D.pairs):
     short = F.length("hyp") < 60
-    s = D.pairs(spark, d).groupBy("conv_id", "arm").agg(F.bool_and(short).alias("a"), F.bool_or(short).alias("o"), F.avg(F.length("hyp")).alias("l"), F.count("*").alias("n"))
+    s = pairs(spark, d).groupBy("conv_id", "arm").agg(F.bool_and(short).alias("a"), F.bool_or(short).alias("o"), F.avg(F.length("hyp")).alias("l"), F.count("*").alias("n"))
     return s.groupBy("arm").agg(F.sum("n").alias("n"), F.count("*").alias("utts"), F.count_if("a").alias("n_all"), F.count_if("o").alias("n_any"), F.round(F.avg("l"), 6).alias("mean_len"))
 
 
 @query(f"{P} SELECT conv_id, turn, cer FROM pairs ORDER BY cer DESC, conv_id, turn LIMIT 20")
-def worst20(spark, d):
-    return J.top(D.pairs(spark, d).select("conv_id", "turn", "cer"), [F.desc("cer"), F.asc("conv_id"), F.asc("turn")], 20)
+def worst20(spark, d, pairs=D.pairs):
+    return J.top(pairs(spark, d).select("conv_id", "turn", "cer"), [F.desc("cer"), F.asc("conv_id"), F.asc("turn")], 20)
 
 
 @query(f"{P}, {PIVOT} SELECT conv_id, round(mix - best, 6) AS gain FROM u WHERE mix IS NOT NULL ORDER BY gain DESC, conv_id LIMIT 15")
-def top_gains(spark, d):
-    return J.top(_pivot(spark, d).where("mix is not null").select("conv_id", F.round(F.col("mix") - F.col("best"), 6).alias("gain")), [F.desc("gain"), F.asc("conv_id")], 15)
+def top_gains(spark, d, pairs=D.pairs):
+    return J.top(_pivot(spark, d, pairs).where("mix is not null").select("conv_id", F.round(F.col("mix") - F.col("best"), 6).alias("gain")), [F.desc("gain"), F.asc("conv_id")], 15)
 
 
 @query(f"{P} SELECT conv_id, turn, length(hyp)::INT AS n FROM pairs WHERE length(hyp) >= 8 ORDER BY n DESC, conv_id, turn LIMIT 20")
-def longest(spark, d):
-    return J.top(D.pairs(spark, d).select("conv_id", "turn", F.length("hyp").alias("n")).where("n >= 8"), [F.desc("n"), F.asc("conv_id"), F.asc("turn")], 20)
+def longest(spark, d, pairs=D.pairs):
+    return J.top(pairs(spark, d).select("conv_id", "turn", F.length("hyp").alias("n")).where("n >= 8"), [F.desc("n"), F.asc("conv_id"), F.asc("turn")], 20)
 
 
 @query(f"{T}, e AS (SELECT list_sort(list(score)) AS a FROM trials WHERE present AND NOT reject), q AS (SELECT i, a[round_even(i / 4.0 * (len(a) - 1), 0)::INT + 1] AS lo, CASE WHEN i = 3 THEN 9.0::DOUBLE ELSE a[round_even((i + 1) / 4.0 * (len(a) - 1), 0)::INT + 1] END AS hi FROM e CROSS JOIN range(0, 4) r(i)) SELECT i::INT AS quartile, count(score) AS n, round(avg(cer), 6) AS mean_cer FROM q LEFT JOIN (SELECT * FROM trials WHERE present AND NOT reject) t ON score >= lo AND score < hi GROUP BY i")
@@ -451,9 +451,9 @@ BINS = [(0, 4), (5, 9), (10, 24), (25, 99), (100, 10**9)]
 
 
 @query(f"{P} SELECT lo, hi, count(hyp) AS n, round(avg(cer), 6) AS mean_cer FROM (VALUES {', '.join(f'({a}, {b})' for a, b in BINS)}) b(lo, hi) LEFT JOIN pairs ON length(hyp) BETWEEN lo AND hi GROUP BY lo, hi")
-def length_bins(spark, d):
+def length_bins(spark, d, pairs=D.pairs):
     bins = F.broadcast(spark.createDataFrame(BINS, "lo int, hi int"))
-    return bins.join(D.pairs(spark, d), F.length("hyp").between(F.col("lo"), F.col("hi")), "left").groupBy("lo", "hi").agg(F.count("hyp").alias("n"), F.round(F.avg("cer"), 6).alias("mean_cer"))
+    return bins.join(pairs(spark, d), F.length("hyp").between(F.col("lo"), F.col("hi")), "left").groupBy("lo", "hi").agg(F.count("hyp").alias("n"), F.round(F.avg("cer"), 6).alias("mean_cer"))
 
 
 @query("""WITH f AS (SELECT quality = 1 AS pos, unnest([{'feature': 'has_digit', 'x': regexp_matches(text, '[0-9]')}, {'feature': 'long', 'x': length(text) >= 1000}, {'feature': 'shout', 'x': contains(text, '!!')}]) AS u FROM documents JOIN labels USING (doc_id)),
@@ -472,10 +472,10 @@ def lang_crosstab(spark, d):
 
 
 @query(f"{P}, b AS (SELECT cer, unnest([{{'bucket': 'short_ref', 'x': length(ref) < 50}}, {{'bucket': 'long_ref', 'x': length(ref) >= 50}}, {{'bucket': 'hyp_longer', 'x': length(hyp) > length(ref)}}]) AS u FROM pairs) SELECT u.bucket AS bucket, count(*) AS n, round(avg(cer), 6) AS mean, list_sort(list(cer))[round_even(0.5 * (count(*) - 1), 0)::INT + 1] AS p50 FROM b WHERE u.x GROUP BY 1")
-def cer_buckets(spark, d):
+def cer_buckets(spark, d, pairs=D.pairs):
     n, m = F.length("ref"), F.length("hyp")
     tests = {"short_ref": n < 50, "long_ref": n >= 50, "hyp_longer": m > n}
-    b = D.pairs(spark, d).select("cer", F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), c.alias("x")) for k, c in tests.items()])).alias("u")).where("u.x")
+    b = pairs(spark, d).select("cer", F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), c.alias("x")) for k, c in tests.items()])).alias("u")).where("u.x")
     return b.groupBy(F.col("u.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("mean"), M.at_nearest(F.col("cer"), 0.5).alias("p50"))
 
 
@@ -552,3 +552,15 @@ def events_sliding(spark, d):
  SELECT user_id, min(ts) AS session_start, count(*) AS n FROM r GROUP BY user_id, run""")
 def events_sessions(spark, d):
     return E.sessions(D.read(spark, d, "events"), "30 minutes")
+
+
+# ---- the pair queries over whole texts; without SQL, as DuckDB's levenshtein counts bytes ----
+def _whole(f):
+    return lambda spark, d: f(spark, d, D.whole_pairs)
+
+
+for _f in (
+    cer_pairs, cer_histogram, cer_block, order_statistics, edit_ratio, align_pairs, ngram_topk, oracle_stream, worst_stream, utterance_pivot, paired_compare,
+    neg_arm_stats, worst20, top_gains, longest, length_bins, cer_buckets,
+):
+    QUERIES[f"{_f.__name__}_whole"] = _whole(_f)

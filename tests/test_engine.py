@@ -2,6 +2,7 @@
 
 import os
 import random
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -65,6 +66,32 @@ def test_normalize_full_width(spark):
     assert sorted(r.n for r in df.collect()) == ["", "abc", "é"]
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_pairs_of_whole_texts(spark, tmp_path):
+    said = [("打开空调", "打开窗帘"), ("café é", "cafe e"), ("Ａｂ，c", "abc"), ("Turn on!", "turn off"), ("你好", ""), ("", "好"), (None, "é")]
+    turns = [(k, i, role, t) for k, both in enumerate(said) for i, (role, t) in enumerate(zip(("user", "assistant"), both))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    clean = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if not c.isspace() and c not in X.CER_PUNCT).lower()
+    want = {}
+    for k, (a, b) in enumerate(said):
+        a, b = clean(a), clean(b)
+        want[k] = (_distance(a, b), min(1.0, round(_distance(a, b) / len(a), 6)) if a else float(bool(b)))
+    assert {r.conv_id: (r.distance, r.cer) for r in QUERIES["cer_pairs_whole"](spark, str(tmp_path)).collect()} == want
+    assert want[0] == (2, 0.5) and want[1][0] == 2 and want[2] == (0, 0.0)
+    grams = {(r.n, r.gram): r.c for r in QUERIES["ngram_topk_whole"](spark, str(tmp_path)).collect()}
+    assert grams[2, "打开"] == 1 and grams[3, "afé"] == 1
+    for name in (n for n in QUERIES if n.endswith("_whole")):
+        assert QUERIES[name](spark, str(tmp_path)).columns == QUERIES[name[:-6]](spark, str(tmp_path)).columns
+
+
 def test_threshold_ties(spark):
     t = spark.createDataFrame([(0.5, True), (0.1, False)], "score double, present boolean")
     c = K.curve(t)

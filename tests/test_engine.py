@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import text as X
 from gatelight.operators import calibrate as K
-from gatelight.operators import models, relational, rules, signal, windows
+from gatelight.operators import models, relational, rules, scoring, signal, windows
 from gatelight.plans.queries import QUERIES, SQL
 from gatelight.sources import records
 from gatelight.streaming import events
@@ -92,6 +92,22 @@ def test_pairs_of_whole_texts(spark, tmp_path):
         assert QUERIES[name](spark, str(tmp_path)).columns == QUERIES[name[:-6]](spark, str(tmp_path)).columns
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 300, 20_500])
+def test_cohorts_of_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    c, e = rng.normal(3, 1, (n, 6)), rng.normal(0, 1, (4, 6))
+    cohort = spark.createDataFrame([(x.tolist(),) for x in c] + [(None,)], "emb array<double>").repartition(3)
+    probes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "id long, emb array<double>")
+    got = {r.id: (r.mu, r.sigma) for r in scoring.cohort_stats(probes, cohort).collect()}
+    assert set(got) == set(range(4))
+    for i, x in enumerate(e):
+        if not n:
+            assert got[i] == (None, 1e-4)
+        else:
+            s = c @ x
+            assert np.allclose(got[i], (s.mean(), max(s.std(), 1e-4)), rtol=1e-10, atol=1e-12)
+
+
 def test_threshold_ties(spark):
     t = spark.createDataFrame([(0.5, True), (0.1, False)], "score double, present boolean")
     c = K.curve(t)

@@ -225,45 +225,6 @@ def test_toxicity_chain(spark):
     assert held and all((r.p_rude > 0.5) == (r.doc_id % 3 == 0) and (r.p_threat > 0.5) == (r.doc_id % 6 == 0) for r in held)
 
 
-def test_neighbours(spark):
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((5000, 24)).astype(np.float32)
-    x[10] = x[11] = x[12]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (None, [1.0] * 24), (9004, [1.0] * 3), (9005, [None] * 24)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.nearest(v, v.where("vec_id % 50 = 0"), 10, shard_rows=2500).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.query_id, []).append(r)
-    y, hits = x.astype(float), 0
-    assert set(by) == set(range(0, 5000, 50))
-    for q, rs in by.items():
-        s = y @ y[q]
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(5000), -s))[:10]
-        rs = sorted(rs, key=lambda r: r.rank)
-        assert [r.rank for r in rs] == list(range(1, 11)) and all(abs(r.score - s[r.vec_id]) < 1e-9 for r in rs)
-        hits += len({r.vec_id for r in rs} & set(want.tolist()))
-    assert hits / (10 * len(by)) >= 0.9
-
-
-@pytest.mark.parametrize("n", [2000, 5000, 8192])
-def test_recall_of_one_shard_with_production_parameters(spark, n):
-    x = np.random.default_rng(n).standard_normal((n, 64))
-    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    by = {}
-    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).collect():
-        by.setdefault(r.query_id, set()).add(r.vec_id)
-    y, hits = x.astype(float), 0
-    assert set(by) == set(range(0, n, 20)) and all(len(b) == 20 for b in by.values())
-    for q, b in by.items():
-        s = y @ y[q]
-        s[q] = -np.inf
-        hits += len(b & set(np.argsort(-s)[:20].tolist()))
-    assert hits / (20 * len(by)) >= 0.95
-
-
 def test_license_forms(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, "Copyright (c) 2020 Some One\n" + mit.upper().replace("LICENSE", "LICENCE") + "  ", "# " + mit, "see: " + mit, None, ""]

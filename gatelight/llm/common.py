@@ -24,12 +24,18 @@ M2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset."""
+    """The cluster's shared folder, by spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where both are unset, a folder of our own in local mode, whose driver and executor are one process;
+    elsewhere an error, as executors can't read each other's folders.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gatelight-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -39,7 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gatelight-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing will read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._gl_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,7 +203,7 @@ class Tokenizer:
         for k in self.stems:
             stop = np.minimum(start + k, end)
             part = sums[stop - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
-            all_h.append(mix(part * self.unpower[start] + np.uint64(k) * M1))
+            all_h.append(mix(part * self.unpower[start] + np.uint64(k * int(M1) % (1 << 64))))
         return np.stack(all_h, 1).ravel(), counts * len(all_h)
 
 

@@ -5,8 +5,8 @@ parts than that, cut by hash, one at least is the same in both: classes that sha
 signature come into one cluster, and no link leads out of a cluster. Sizes are cut into intervals,
 and clusters are formed for each interval by itself: of its own sets, and of those of the interval
 below that may link with them. A cluster's sets then meet in a task, large clusters in pairs of
-tiles, where an index of rare-first prefixes with blocks by position is skipped along, and answers
-of a set are derived from those of a highly similar pivot.
+tiles, where an index of rare-first prefixes with blocks by position is skipped along for every set, and
+the sizes of a set's intersections are derived from those of a highly similar pivot.
 
 Parts that hold few shingles, or only very frequent ones (by counts over all documents, in a table of
 fixed size), prove little; there are some more parts than needed, so that the weakest can go.
@@ -15,6 +15,7 @@ fixed size), prove little; there are some more parts than needed, so that the we
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from math import ceil
 
 import numpy as np
@@ -32,9 +33,12 @@ SKETCH_BITS = 20
 SLICES = 64
 #: A shingle is frequent if its bin has this many times the mean, and this many at least.
 HOT_TIMES, HOT_LEAST = 3, 64
-#: Text bytes and signatures of a group, shingles of a tile.
+#: Signatures of a group; shingles and sets of a tile.
 GROUP_ENTRIES = 600_000
 TILE_SHINGLES = 1_500_000
+TILE_SETS = 512
+#: Pivots kept: sets with the sizes of their intersections.
+PIVOTS = 4
 
 U = np.uint64
 
@@ -134,16 +138,14 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None, co
     mark = np.zeros(len(vocab), bool)
     out: list = [None] * m
 
-    def overlaps(x: int, others: np.ndarray | None) -> np.ndarray:
-        """Sizes of the intersections with others (None: with all)."""
+    def overlaps(x: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with others."""
+        if not len(others):
+            return np.zeros(0, np.int64)
         mark[rows[x]] = True
-        if others is None:
-            got = np.add.reduceat(mark[flat].astype(np.int64), begins)
-        else:
-            part = mark[np.concatenate([rows[y] for y in others])]
-            got = np.add.reduceat(part.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[others])[:-1])))
+        part = mark[np.concatenate([rows[y] for y in others])]
         mark[rows[x]] = False
-        return got
+        return np.add.reduceat(part.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[others])[:-1])))
 
     # index: of each token of a prefix the sets, by position in the set; block: eight positions
     prefix = sizes - -(-t * sizes // 100) + 1
@@ -170,47 +172,43 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None, co
         fits = linked(np.minimum(n, ny), n, ny, t) & ((100 + t) * room >= t * (n + ny)) & fair[y] & (y != x)
         return np.unique(y[fits])
 
-    pivots: list[tuple[int, np.ndarray]] = []  # sets with their intersections with all sets
+    pivots: deque = deque(maxlen=PIVOTS)  # sets with the sizes of their intersections, -1 where unknown
     for x in range(m):
         n = int(sizes[x])
         fair = np.ones(m, bool) if counts is None else counts(x)
         if left is not None:
             fair = fair & (left != left[x])
-        done = False
-        for pivot, got in reversed(pivots[-4:]):
-            only_x, only_pivot = n - int(got[x]), int(sizes[pivot] - got[x])
-            if only_x + only_pivot > n // 10:
+        y = candidates(x, fair)
+        for (pivot, known), common in zip(pivots, overlaps(x, np.array([p for p, _ in pivots], np.int64)).tolist(), strict=True):
+            only_x, only_pivot = n - common, int(sizes[pivot]) - common
+            if only_x + only_pivot > n // 10 or not len(y):
                 continue
-            low, high = got - only_pivot, np.minimum(got + only_x, n)
-            sure = linked(low, n, sizes, t)
-            open_ = np.flatnonzero(linked(high, n, sizes, t) & ~sure & fair)
-            if len(open_) <= max(8, m // 2):
-                if len(open_):
-                    sure[open_] = linked(overlaps(x, open_), n, sizes[open_], t)
-                hit, done = sure, True
+            # from the pivot's sizes: intersections lose at most only_pivot and gain at most only_x
+            low, high = known[y] - only_pivot, np.minimum(known[y] + only_x, n)
+            sure = (known[y] >= 0) & linked(low, n, sizes[y], t)
+            open_ = np.flatnonzero((known[y] < 0) | (~sure & linked(high, n, sizes[y], t)))
+            if len(open_) <= max(8, len(y) // 2):
+                hit = sure
+                hit[open_] = linked(overlaps(x, y[open_]), n, sizes[y[open_]], t)
                 break
-        if not done:
-            y = candidates(x, fair)
-            hit = np.zeros(m, bool)
+        else:
+            got = overlaps(x, y)
+            hit = linked(got, n, sizes[y], t)
             if len(y) > 8:
-                got = overlaps(x, None)
-                pivots.append((x, got))
-                hit = linked(got, n, sizes, t)
-            elif len(y):
-                hit[y] = linked(overlaps(x, y), n, sizes[y], t)
-        hit[x] = False
-        hit &= fair
-        out[x] = np.flatnonzero(hit)
+                known = np.full(m, -1)
+                known[y], known[x] = got, n
+                pivots.appendleft((x, known))
+        out[x] = y[hit]
     return out
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document id, n, d1, d2 (kind 0); of each task the shingle counts in slices (kind 1)."""
+    """Of each row id, mark (as in `docs`), n, d1, d2 (kind 0); of each task the shingle counts in slices (kind 1)."""
     per = (1 << SKETCH_BITS) // SLICES
 
     def run(batches):
         sets, bins = Sets(k), np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "id", "n", "d1", "d2", "blob"]
+        names = ["kind", "id", "mark", "n", "d1", "d2", "blob"]
         for batch in batches:
             for part in C.text_slices(batch, "text"):
                 got = sets(part.column(1).to_pylist())
@@ -218,15 +216,15 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
                 bins += np.bincount((flat >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(bins))
                 d = [digests(s) if len(s) else (None, None) for s in got]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([0] * len(got), pa.int32()), part.column(0), pa.array([len(s) for s in got], pa.int64()),
+                    pa.array([0] * len(got), pa.int32()), part.column(0), part.column(2), pa.array([len(s) for s in got], pa.int64()),
                     pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.nulls(len(got), pa.binary()),
                 ], names=names)
         if bins.any():
             blobs = [zlib.compress(bins[s * per : (s + 1) * per].astype("<u4").tobytes(), 1) for s in range(SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), none, none, none, pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], names=names)
 
-    return docs.mapInArrow(C.streaming(run), "kind int, id long, n long, d1 long, d2 long, blob binary")
+    return docs.mapInArrow(C.streaming(run), "kind int, id long, mark long, n long, d1 long, d2 long, blob binary")
 
 
 def _hot(facts: DataFrame) -> np.ndarray:
@@ -305,19 +303,14 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
     return connected_components(edges)
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), a row for each row of `docs`.
-
-    Texts are sets of distinct k-word shingles, A-Z lower-cased; with fewer words the whole sequence
-    is the one shingle. Two rows link when 100 * intersection >= t * union; component_id is the least
-    id reachable by links, n_links the number of other rows linked with. Null texts and texts without
-    words have no shingles and link with nothing. Rows without id link with nothing and have no
-    component. Rows of one id and different texts are different rows with the same id.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), C.octets(text_col).alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows have id, mark (a hash of the text), n, d1, d2; classes are the different
+    sets that have an id, with d1, d2, node, root and n_links. A node is struct<rep, d1, d2>, where rep is
+    the least id of the set, and root the least node of its component."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), C.octets(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     facts = C.materialize(_facts(base, k))
     hot = _hot(facts)
-    own = facts.where("kind = 0").select("id", "n", "d1", "d2")
+    own = facts.where("kind = 0").select("id", "mark", "n", "d1", "d2")
     live = own.where("id is not null and n > 0")
     total = live.agg(F.sum("n")).first()[0] or 0
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
@@ -325,8 +318,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sides = F.explode(F.array(F.struct(F.expr("d1 | 1L").alias("node"), F.lit(True).alias("own")), F.struct(F.expr("d1 & ~1L").alias("node"), F.lit(False).alias("own"))))
     members = classes.select("*", sides.alias("side")).select("rep", "d1", "d2", "copies", "n", "side.*").join(roots, "node").drop("node")
     sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-    members = members.join(sums, "root").withColumn("tiles", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"))
-    place = F.struct("root", "own", "tiles", F.pmod(F.xxhash64("d1"), F.col("tiles")).cast("int").alias("tile"))
+    tiles = F.greatest(F.ceil(F.col("total") / TILE_SHINGLES), F.ceil(F.col("m") / TILE_SETS)).cast("int")
+    members = members.join(sums, "root").withColumn("tiles", tiles)
+    place = F.struct("root", "own", "tiles", F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")).cast("int").alias("tile"))
     members = C.materialize(members.groupBy("rep", "d1", "d2", "copies").agg(F.collect_list(place).alias("places")))  # two at most
 
     def build(batches):
@@ -336,30 +330,33 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 got = sets(part.column(batch.schema.get_field_index("text")).to_pylist())
                 d1, d2 = part.column(batch.schema.get_field_index("d1")).to_pylist(), part.column(batch.schema.get_field_index("d2")).to_pylist()
                 fine = [i for i, s in enumerate(got) if len(s) and digests(s) == (d1[i], d2[i])]  # an id may have other texts
-                rest = part.select(["rep", "copies", "places"]).take(pa.array(fine, pa.int64()))
+                rest = part.select(["rep", "d1", "d2", "copies", "places"]).take(pa.array(fine, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([got[i].tobytes() for i in fine], pa.binary())], names=[*rest.schema.names, "shingles"])
 
     # never a broadcast: members grow with the corpus, and the plan is the same at every size
     texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select(F.col("id").alias("rep"), "copies", "places", "d1", "d2", "text")
-    sets = texts.mapInArrow(C.streaming(build), "rep long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
-    sets = sets.select("rep", "copies", F.explode("places").alias("place"), "shingles").select("rep", "copies", "place.*", "shingles")
+    sets = texts.mapInArrow(C.streaming(build), "rep long, d1 long, d2 long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
+    keep = ["rep", "d1", "d2", "copies"]
+    sets = sets.select(*keep, F.explode("places").alias("place"), "shingles").select(*keep, "place.*", "shingles")
     pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = sets.select("root", "rep", "copies", "own", "tile", pair.alias("other"), "shingles").select("root", "rep", "copies", "own", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
+    dealt = sets.select("root", *keep, "own", "tile", pair.alias("other"), "shingles")
+    dealt = dealt.select("root", *keep, "own", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
 
     intervals = Parts(t, None)
+    node_type = pa.struct([("rep", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def links(g: pa.Table) -> pa.Table:
         """Edges (a, b), and rows (a, null) with the number of linked rows in `n`."""
-        rep = g.column("rep").to_numpy()
-        _, first, which = np.unique(rep, return_index=True, return_inverse=True)  # repeated rows
+        keys = np.stack([g.column(c).to_numpy() for c in ("rep", "d1", "d2")], 1)
+        keys, first, which = np.unique(keys, axis=0, return_index=True, return_inverse=True)  # repeated rows
         own = np.zeros(len(first), bool)
-        np.logical_or.at(own, which, g.column("own").to_numpy())
+        np.logical_or.at(own, which.ravel(), g.column("own").to_numpy())
         blobs = g.column("shingles")
         sets = [np.frombuffer(blobs[int(i)].as_py(), U) for i in first]
-        order = np.lexsort((rep[first], [len(s) for s in sets]))
-        sets, first, own = [sets[i] for i in order], first[order], own[order]
+        order = np.lexsort((np.arange(len(first)), [len(s) for s in sets]))
+        sets, first, own, keys = [sets[i] for i in order], first[order], own[order], keys[order]
         level = intervals.interval(np.array([len(s) for s in sets]))
-        rep, copies, tile = rep[first], g.column("copies").to_numpy()[first], g.column("tile").to_numpy()[first]
+        copies, tile = g.column("copies").to_numpy()[first], g.column("tile").to_numpy()[first]
         cross = g.column("i")[0].as_py() != g.column("j")[0].as_py()
 
         def counts(x):
@@ -367,7 +364,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return np.where(level == level[x], own & own[x], np.where(level > level[x], own, own[x]))
 
         found = join_sets(sets, t, tile if cross else None, counts)
-        parent = np.arange(len(rep))  # edges as a forest
+        parent = np.arange(len(first))  # edges as a forest
 
         def top(x):
             while parent[x] != x:
@@ -377,23 +374,44 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b, n = [], [], []
         for x, ys in enumerate(found):
             if len(ys):
-                a.append(rep[x])
-                b.append(None)
+                a.append(x)
+                b.append(-1)
                 n.append(int(copies[ys].sum()))
             for y in ys[ys < x].tolist():
                 p, q = top(x), top(y)
                 if p != q:
                     parent[p] = q
-                    a.append(rep[x])
-                    b.append(rep[y])
+                    a.append(x)
+                    b.append(y)
                     n.append(0)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-    found = C.materialize(dealt.groupBy("root", "i", "j").applyInArrow(C.grouped(links), "a long, b long, n long"))
-    comp = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("component"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_other"))
-    classes = classes.join(comp, "rep", "left").join(counts, "rep", "left").select(
-        "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("n_other", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        def nodes(at):
+            at = np.array(at, np.int64)
+            cols = [pa.array(keys[at, c]) for c in range(3)]
+            return pa.StructArray.from_arrays(cols, fields=list(node_type), mask=pa.array(at < 0))
+
+        return pa.table([nodes(a), nodes(b), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    node = "struct<rep:long,d1:long,d2:long>"
+    found = C.materialize(dealt.groupBy("root", "i", "j").applyInArrow(C.grouped(links), f"a {node}, b {node}, n long"))
+    comp = connected_components(found.where("b is not null").select("a", "b"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_other"))
+    classes = classes.withColumn("node", F.struct("rep", "d1", "d2")).join(comp, "node", "left").join(counts, "node", "left")
+    return own, classes.select("d1", "d2", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("n_other", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), a row for each row of `docs`.
+
+    Texts are sets of distinct k-word shingles, A-Z lower-cased; with fewer words the whole sequence
+    is the one shingle. Two rows link when 100 * intersection >= t * union; component_id is the least
+    id reachable by links, n_links the number of other rows linked with. Null texts and texts without
+    words have no shingles and link with nothing. Rows without id link with nothing and have no
+    component. Rows of one id and different texts are different rows with the same id, in the same or in
+    different components. Other columns aren't read. An empty table gives no rows; a long text is one set.
+    """
+    own, classes = _classes(docs, id_col, text_col, k, t)
+    classes = classes.select("d1", "d2", F.col("root.rep").alias("component"), "n_links")
     keyed = own.withColumn("live", F.col("id").isNotNull() & (F.col("n") > 0))
     out = keyed.where("live").join(classes, ["d1", "d2"]).select("id", "n", "component", "n_links")
     out = out.unionByName(keyed.where("not live").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")))
@@ -401,19 +419,25 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
-    """`docs`, columns unchanged, with the row of the least id of each component; of several rows of
-    that id one stays. Rows without id or shingles stay."""
-    comp = join_components(docs, id_col, text_col, k, t)
-    keep = comp.where("doc_id = component_id").select(F.col("doc_id").alias("__gl_keep")).distinct()
-    own = docs.withColumn("__gl_id", F.col(f"`{id_col}`").cast("long"))
-    # one exchange of the texts: the window takes the join's partitioning; rows without id are apart
-    live = own.where("__gl_id is not null").join(keep.hint("merge"), F.col("__gl_id") == F.col("__gl_keep"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__gl_id").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
-    live = live.withColumn("__gl_nth", first).where("__gl_nth = 1").drop("__gl_nth")
-    return live.unionByName(own.where("__gl_id is null")).drop("__gl_id")
+    """`docs`, columns unchanged, with one row of each component of `join_components`: one of the least
+    id, of several alike texts of that id one. Rows of one id whose texts are not alike stay, as they are
+    in different components; of rows of the same id and text one stays. Rows without id or without words
+    stay. An empty table gives an empty one.
+    """
+    own, classes = _classes(docs, id_col, text_col, k, t)
+    first = classes.where("node = root").select("d1", "d2", F.col("root.rep").alias("id"))
+    keep = own.where("id is not null and n > 0").join(first, ["id", "d1", "d2"]).groupBy("id", "d1", "d2").agg(F.min("mark").alias("mark"))
+    keep = keep.select(F.col("id").alias("__gl_id"), F.col("mark").alias("__gl_mark"))
+    text = F.col(f"`{text_col}`")
+    base = docs.withColumn("__gl_id", F.col(f"`{id_col}`").cast("long")).withColumn("__gl_mark", F.xxhash64(C.octets(text_col)))
+    live = F.col("__gl_id").isNotNull() & F.coalesce(text.cast("string").rlike(C.WORD_PATTERN), F.lit(False))
+    # equal rows are merged before the exchange, so one repeated without end is one row a task
+    some = base.where(live).dropDuplicates(["__gl_id", "__gl_mark"]).join(keep.hint("merge"), ["__gl_id", "__gl_mark"], "left_semi")
+    return some.select(*docs.columns).unionByName(base.where(~live).select(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`join_components` of `documents`: 4-word shingles, 85 percent."""
     return join_components(C.table(spark, sf_dir, "documents"))
 
 

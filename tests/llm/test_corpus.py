@@ -225,49 +225,6 @@ def test_toxicity_chain(spark):
     assert held and all((r.p_rude > 0.5) == (r.doc_id % 3 == 0) and (r.p_threat > 0.5) == (r.doc_id % 6 == 0) for r in held)
 
 
-def test_license_forms(spark):
-    mit = licenses.KNOWN["MIT"]
-    texts = [mit, "Copyright (c) 2020 Some One\n" + mit.upper().replace("LICENSE", "LICENCE") + "  ", "# " + mit, "see: " + mit, None, ""]
-    rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs(spark, texts), licenses.known_licenses(spark)).collect()}
-    assert [rows[i].license for i in range(6)] == ["MIT", "MIT", "MIT", None, None, None]
-    assert rows[4].digest is None and rows[5].digest == hashlib.sha256(b"").hexdigest()
-
-
-MIT_TEXT = """MIT License
-
-Copyright (c) 2020 Some One
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE.
-"""
-
-
-def test_standard_license_texts(spark, tmp_path):
-    texts = {"MIT": MIT_TEXT, "plain": "see: " + MIT_TEXT}
-    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("BSD-3-Clause", "BSD")):
-        path = f"/usr/share/common-licenses/{file}"
-        if os.path.exists(path):
-            texts[name] = open(path, encoding="utf8").read()
-    make_docs(spark, list(texts.values())).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.license for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
-    assert [got[i] for i in range(len(texts))] == [None if n == "plain" else n for n in texts]
-
-
 def test_redirect_classes(spark):
     link = '<link rel="canonical" href="{}">'
     pages = spark.createDataFrame([

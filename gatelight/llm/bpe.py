@@ -31,8 +31,9 @@ CACHE_UNITS = 300_000
 #: Bytes of distinct words that one replay takes, and pairs looked up at once.
 REPLAY_BYTES, LOOKUP = 1 << 20, 1 << 18
 
-#: Before a single space between other characters a match of the split pattern always ends, as only
-#: an optional leading space of a match can take it up. Patterns of the GPT-2 family have this form.
+# Fixed value: the split pattern of the GPT-2 family. Before a single space between other characters a match of
+# it always ends, as only an optional leading space of a match can take it up.
+FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNIT = re.compile(r"(?<=\S)(?= \S)")
 _TWO = re.compile(r"\s\s")
 _ONE = np.ones(1, bool)
@@ -200,7 +201,8 @@ def _ranks_of(spark: SparkSession, ranks_path: str):
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """`docs` with n_tokens (long) and token_ids (binary: little-endian unsigned 32-bit ids).
 
-    Each match of `pattern` is encoded by itself and without special tokens. A null or empty text
+    Each match of `pattern` is encoded by itself and without special tokens; text that no match holds is
+    left out. Texts are taken word by word where `pattern` is FAMILY, and whole otherwise. A null or empty text
     has no tokens. Columns of these names in `docs` are replaced; rows, repeated ones too, stay one
     to one and other columns are passed through. An empty table gives an empty result.
     """
@@ -213,6 +215,7 @@ def _encoding(held, pattern: str, text_col: str):
 
     def run(batches):
         replay, split = MergeReplay(read_ranks(held.value)), regex.compile(pattern)
+        cut = units if pattern == FAMILY else lambda text: [text]  # of other patterns nothing is known
         known: dict[str, bytes] = {}
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
@@ -223,7 +226,7 @@ def _encoding(held, pattern: str, text_col: str):
             for part in C.text_slices(batch, text_col):
                 for text in part.column(at).to_pylist():
                     if text:
-                        first, *rest = units(text)
+                        first, *rest = cut(text)
                         heads.add(first)
                         fresh.update(rest)
             new = [u for u in fresh if u not in known]
@@ -238,7 +241,7 @@ def _encoding(held, pattern: str, text_col: str):
                 blobs = []
                 for text in part.column(at).to_pylist():
                     if text:
-                        first, *rest = units(text)
+                        first, *rest = cut(text)
                         blobs.append(starts[first] + b"".join(map(known.__getitem__, rest)))
                     else:
                         blobs.append(b"")
@@ -292,6 +295,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`bpe_round_trip` of `documents`, with digests of the ids and of the bytes they decode to."""
     path, pattern = tokenizer()
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, path, pattern).select(

@@ -18,17 +18,31 @@ def render(turn: Column) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("<|end|>\n"))
 
 
+def _turn(turn_col: str, role_col: str, text_col: str) -> Column:
+    return F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def conversations_of(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns): one row for each conversation, its turns in order.
 
     Turns with a null conversation are left out; null roles and texts count as empty; turns of one
-    number follow by role and text, null numbers first; repeated turns stay.
+    number follow by role and text, null numbers first; repeated turns stay. A conversation is one
+    row, and has to fit into one. Other columns aren't read.
     """
-    turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("t"))
+    base = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv_id"), _turn(turn_col, role_col, text_col).alias("t"))
     return base.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
+def adjacent_pairs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(pair_id, chosen, rejected): turns of conversation 2k as chosen against those of 2k + 1 as rejected,
+    where both are there, by one exchange of the turns. Cases as for `conversations_of`."""
+    conv = F.col(conv_col).cast("long")
+    base = turns.where(F.col(conv_col).isNotNull()).select(F.shiftright(conv, 1).alias("pair_id"), (conv.bitwiseAND(1) == 0).alias("even"), _turn(turn_col, role_col, text_col).alias("t"))
+    side = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("t"))))
+    both = base.groupBy("pair_id").agg(side(F.col("even")).alias("chosen"), side(~F.col("even")).alias("rejected"))
+    return both.where((F.size("chosen") > 0) & (F.size("rejected") > 0))
+
+
 def spans(turns: Column) -> Column:
     """array<struct<start, end>>: characters of the rendering that are text of TRAINED_ROLE."""
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("out"))
@@ -45,15 +59,23 @@ def spans(turns: Column) -> Column:
     return F.aggregate(turns, zero, step, lambda acc: acc["out"])
 
 
-def format_preferences(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
+def join_sides(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected): `pairs` (pair_id, chosen_id, rejected_id) with the turns of
+    `conversations` (as by `conversations_of`); pairs of which a side is missing are left out."""
+    side = lambda name: conversations.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
+    own = pairs.select("pair_id", "chosen_id", "rejected_id")
+    return own.join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id").select("pair_id", "chosen", "rejected")
+
+
+def format_preferences(both: DataFrame) -> DataFrame:
     """(pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask).
 
-    `pairs` has pair_id, chosen_id and rejected_id, `conversations` is as by `conversations_of`.
-    Turns are the same if role and text are. Pairs of which a side is missing are left out; if one
-    conversation begins with the other, or both are the same, a completion is empty, with no span.
+    `both` has pair_id and the turns of both sides, as by `adjacent_pairs` or `join_sides`; further
+    columns aren't read. Turns are the same if role and text are. If one conversation begins with the other, or both
+    are the same, a completion is empty, with no span. An empty table gives no rows.
     """
-    side = lambda name: conversations.select(F.col("conv_id").alias(f"{name}_id"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name))
-    both = pairs.join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id")
+    plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    both = both.select("pair_id", plain("chosen").alias("chosen"), plain("rejected").alias("rejected"))
     differ = F.transform(F.arrays_zip("chosen", "rejected"), lambda z: ~(z["chosen"].eqNullSafe(z["rejected"])))
     first = F.array_position(differ, F.lit(True)).cast("int")
     both = both.withColumn("n", F.when(first > 0, first - 1).otherwise(F.size("chosen")))
@@ -65,16 +87,9 @@ def format_preferences(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
     )
 
 
-def adjacent_pairs(conversations: DataFrame) -> DataFrame:
-    """Conversation 2k as chosen against 2k + 1 as rejected, where both are there."""
-    even = conversations.where("conv_id % 2 = 0").select(F.expr("conv_id div 2").alias("pair_id"), F.col("conv_id").alias("chosen_id"))
-    return even.withColumn("rejected_id", F.col("chosen_id") + 1)
-
-
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of adjacent conversations; masks as text, "start-end" joined by commas."""
-    convs = conversations_of(C.table(spark, sf_dir, "conversations"))
-    out = format_preferences(adjacent_pairs(convs), convs)
+    out = format_preferences(adjacent_pairs(C.table(spark, sf_dir, "conversations")))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.withColumns({c: flat(c) for c in ("chosen_mask", "rejected_mask")})
 

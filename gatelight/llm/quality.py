@@ -181,6 +181,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score_quality` of `documents`, learnt from the labels of the rows that aren't held out."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, C.table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")

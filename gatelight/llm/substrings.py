@@ -458,6 +458,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`mark_repeats` of `documents`, with the digest of the words left."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mark_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(C.octets("kept"), 256).alias("kept_sha256"))

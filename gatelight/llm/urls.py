@@ -101,6 +101,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, red
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`filter_urls` of `pages` by RULES, with the links of their html."""
     pages = C.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

@@ -118,12 +118,11 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    convs = chat.conversations_of(turns)
     for df in (
         substrings.mark_repeats(docs), jaccard.join_components(docs), jaccard.keep_representatives(docs), bpe.bpe_encode(docs, path, pattern),
         decontam.contaminated_pairs(docs, bench), decontam.decontaminate(docs, bench), quality.quality_filter(docs, labels), ann.nearest(vectors, vectors, 3),
         toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, ["toxic"]), ["toxic"]), licenses.scan_licenses(docs, licenses.known_licenses(spark)),
-        chat.format_preferences(chat.adjacent_pairs(convs), convs), urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")),
+        chat.format_preferences(chat.adjacent_pairs(turns)), urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert df.count() == 0
 
@@ -251,8 +250,10 @@ def test_preferences(spark):
         (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "alone"),
         (4, 0, "user", "x"), (5, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, "user", "y"),
     ], "conv_id long, turn long, role string, text string")
-    convs = chat.conversations_of(turns)
-    got = {r.pair_id: r for r in chat.format_preferences(chat.adjacent_pairs(convs), convs).collect()}
+    got = {r.pair_id: r for r in chat.format_preferences(chat.adjacent_pairs(turns)).collect()}
+    pairs = spark.createDataFrame([(0, 0, 1, "x"), (2, 4, 5, "x"), (1, 2, 3, "x"), (9, None, 1, "x")], "pair_id long, chosen_id long, rejected_id long, prompt string")
+    joined = chat.format_preferences(chat.join_sides(pairs, chat.conversations_of(turns)))
+    assert {r.pair_id: r for r in joined.collect()} == got
     assert set(got) == {0, 2}
     r = got[0]
     assert r.n_common == 1 and r.prompt == "<|user|>\nhi<|end|>\n" and r.rejected == "<|assistant|>\nno<|end|>\n"

@@ -7,8 +7,9 @@
 4. benchmark    drops documents that hold a benchmark item,
 5. tokens       adds n_tokens and token_ids (and checks that the ids decode to the text).
 
-Every stage but the last returns the columns of `documents`; rows with null texts pass all stages
-that don't reject them for their score.
+Every stage but the last returns the columns of its input, clashing ones included; rows with null texts
+pass all stages that don't reject them for their score. Of rows with one id and different texts each is a
+document of its own; of equal rows near_dups keeps one. An empty table passes as an empty one.
 """
 
 from __future__ import annotations
@@ -20,22 +21,27 @@ from gatelight.llm import bpe, common, decontam, jaccard, quality, substrings
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`docs` without those scored under the threshold; null and empty texts are scored as texts without features."""
     return quality.quality_filter(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`docs` with one row of each component; rows without id or words stay."""
     return jaccard.keep_representatives(docs, k=5, t=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`docs` without repeated passages, n_chars renewed; documents left empty by that go, empty ones stay."""
     return substrings.drop_repeats(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`docs` without those that cover half of a benchmark item; null and empty texts stay."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`docs` with n_tokens, token_ids and round_trip; null texts have no tokens."""
     path, pattern = bpe.tokenizer()
     out = bpe.bpe_round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(common.octets("text"), F.lit(b""))

@@ -43,26 +43,6 @@ def binary(truth: Column, said: Column) -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(rate(F.count_if(truth == said), F.count("*"), 0.0), 6).alias("accuracy"), F.round(rate(2 * tp, 2 * tp + fp + fn, 0.0), 6).alias("f1")]
 
 
-def ordered(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
-
-
-def at_nearest(x: Column, p: float) -> Column:
-    """Of the sorted values the one at p (n - 1), rounded half to even."""
-    a = ordered(x)
-    return F.try_element_at(a, F.bround(F.lit(p) * (F.size(a) - 1)).cast("int") + 1)
-
-
-def at_floor(x: Column, p: float) -> Column:
-    a = ordered(x)
-    return F.try_element_at(a, F.floor(F.lit(p) * (F.size(a) - 1)).cast("int") + 1)
-
-
-def upper_median(x: Column) -> Column:
-    a = ordered(x)
-    return F.try_element_at(a, F.floor(F.size(a) / 2).cast("int") + 1)
-
-
 BUCKETS = ["=0", "(0,.25)", "[.25,.5)", "[.5,1)", "=1"]
 
 
@@ -71,8 +51,8 @@ def cer_bucket(c: Column) -> Column:
 
 
 def cer_block(c: Column) -> list[Column]:
+    """The moments and rates of a CER; its quantiles come from `ranks.order_statistics`."""
     return [
-        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), at_nearest(c, 0.5).alias("p50"),
-        at_nearest(c, 0.9).alias("p90"), at_nearest(c, 0.95).alias("p95"), F.round(rate(F.count_if(c == 0), F.count(c), 0.0), 6).alias("exact_rate"),
-        F.round(rate(F.count_if(c >= 1), F.count(c), 0.0), 6).alias("full_rate"),
+        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"),
+        F.round(rate(F.count_if(c == 0), F.count(c), 0.0), 6).alias("exact_rate"), F.round(rate(F.count_if(c >= 1), F.count(c), 0.0), 6).alias("full_rate"),
     ]

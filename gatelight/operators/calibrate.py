@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelight.functions import metrics as M
+from gatelight.operators.ranks import ranked
 
 
 def candidates(trials: DataFrame, keys: list[str], grid: tuple[float, float, float] = (-0.5, 1.5, 0.01)) -> DataFrame:
@@ -61,20 +62,23 @@ def select_eer(c: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return _first(c, keys or [], F.struct(-F.abs(F.col("frr") - F.col("far")), -F.col("thr")))
 
 
-def holdout(df: DataFrame, strata: list[str], frac: float, seed: int = 42, id_col: str = "uid") -> DataFrame:
-    """`df` with held_out: in each stratum the first round(frac * n) rows by md5 of id and seed."""
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", id_col, F.lit(str(seed)))), id_col))
-    return df.withColumn("held_out", rank <= F.floor(F.count("*").over(w) * frac + 0.5))
+def holdout(df: DataFrame, strata: list[str], frac: float, seed: int = 42, id_col: str = "uid", floors: tuple[int, int] | None = None) -> DataFrame:
+    """`df` with held_out: in each stratum the first round(frac * n) rows by md5 of id and seed.
+
+    With floors (positives, negatives) a stratum keeps at least that many rows for calibration, by its `present`.
+    """
+    out = ranked(df, strata, id_col, seed)
+    quota = F.floor(F.col("__gl_total") * frac + 0.5)
+    if floors:
+        quota = F.least(quota, F.greatest(F.lit(0), F.col("__gl_total") - F.when(F.col("present"), floors[0]).otherwise(floors[1])))
+    return out.withColumn("held_out", F.col("turn") <= quota).drop("turn", "__gl_total")
 
 
 def stratified_limit(df: DataFrame, n: int, stratum: str = "label", id_col: str = "uid") -> DataFrame:
     """About n rows, by share of the strata, one at least of each; `turn` interleaves them."""
-    w = Window.partitionBy(stratum)
-    counted = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("__gl_n"))))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.count("*").over(w) / F.col("__gl_n") + 0.5))
-    turn = F.row_number().over(w.orderBy(F.md5(F.col(id_col)), id_col))
-    return counted.withColumn("quota", quota).withColumn("turn", turn).where("turn <= quota").drop("__gl_n", "quota")
+    counted = ranked(df, [stratum], id_col).crossJoin(F.broadcast(df.agg(F.count("*").alias("__gl_n"))))  # one row
+    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__gl_total") / F.col("__gl_n") + 0.5))
+    return counted.where(F.col("turn") <= quota).withColumn("turn", F.col("turn").cast("int")).drop("__gl_n", "__gl_total")
 
 
 def grid_of(spark, lo: float, hi: float, n: int, name: str) -> DataFrame:

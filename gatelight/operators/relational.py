@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelight.operators.ranks import numbered
+
 
 def keep_last(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """The row of the greatest ordinal of each key."""
@@ -43,15 +45,12 @@ def label_of(label: Column, split: Column) -> Column:
 
 
 def submission(rows: DataFrame) -> DataFrame:
-    """One row: positives by id (null last) and uid as an array; rejected ones empty with cer 1."""
+    """(pos, id, content, cer): positives by id (null last) and uid, numbered; rejected ones empty with cer 1."""
     out = rows.where("split = 'pos'").select(
-        F.struct(
-            F.col("id").isNull().alias("last"), F.col("id"), F.col("uid"),
-            F.when(F.col("reject"), "").otherwise(F.coalesce("content", F.lit(""))).alias("content"), F.when(F.col("reject"), 1.0).otherwise(F.coalesce("cer", F.lit(1.0))).alias("cer"),
-        ).alias("r")
+        "id", "uid", F.when(F.col("reject"), "").otherwise(F.coalesce("content", F.lit(""))).alias("content"),
+        F.when(F.col("reject"), 1.0).otherwise(F.coalesce("cer", F.lit(1.0))).alias("cer"),
     )
-    ordered = F.array_sort(F.collect_list("r"))
-    return out.agg(F.transform(ordered, lambda r: F.struct(r["id"].alias("id"), r["content"].alias("content"), r["cer"].alias("cer"))).alias("results"))
+    return numbered(out, "id", "uid").select("pos", "id", "content", "cer")
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:

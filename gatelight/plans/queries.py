@@ -9,6 +9,7 @@ from gatelight.functions import metrics as M
 from gatelight.functions import text as X
 from gatelight.functions import vector as V
 from gatelight.operators import calibrate as K
+from gatelight.operators import ranks as O
 from gatelight.operators import relational as J
 from gatelight.operators import rules as R
 from gatelight.operators import scoring as S
@@ -133,13 +134,14 @@ def _nearest(p):
 @query(f"""{P} SELECT arm, count(*) AS n, round(avg(cer), 6) AS mean, round(stddev_pop(cer), 6) AS std, {_nearest(0.5)} AS p50, {_nearest(0.9)} AS p90, {_nearest(0.95)} AS p95,
  round(count_if(cer = 0)::DOUBLE / count(*), 6) AS exact_rate, round(count_if(cer >= 1)::DOUBLE / count(*), 6) AS full_rate FROM pairs GROUP BY arm""")
 def cer_block(spark, d, pairs=D.pairs):
-    return pairs(spark, d).groupBy("arm").agg(*M.cer_block(F.col("cer")))
+    p = pairs(spark, d).select("arm", "cer")
+    picks = {"p50": O.nearest_at(0.5), "p90": O.nearest_at(0.9), "p95": O.nearest_at(0.95)}
+    return p.groupBy("arm").agg(*M.cer_block(F.col("cer"))).join(O.order_statistics(p, ["arm"], "cer", picks), "arm")
 
 
 @query(f"{P} SELECT arm, list_sort(list(cer))[round_even(0.5 * (count(*) - 1), 0)::INT + 1] AS nearest, list_sort(list(cer))[floor(0.9 * (count(*) - 1))::INT + 1] AS floored, list_sort(list(cer))[count(*) // 2 + 1] AS upper FROM pairs GROUP BY arm")
 def order_statistics(spark, d, pairs=D.pairs):
-    c = F.col("cer")
-    return pairs(spark, d).groupBy("arm").agg(M.at_nearest(c, 0.5).alias("nearest"), M.at_floor(c, 0.9).alias("floored"), M.upper_median(c).alias("upper"))
+    return O.order_statistics(pairs(spark, d), ["arm"], "cer", {"nearest": O.nearest_at(0.5), "floored": O.floor_at(0.9), "upper": O.upper_middle})
 
 
 # ---- calibration ----
@@ -436,9 +438,9 @@ def longest(spark, d, pairs=D.pairs):
 @query(f"{T}, e AS (SELECT list_sort(list(score)) AS a FROM trials WHERE present AND NOT reject), q AS (SELECT i, a[round_even(i / 4.0 * (len(a) - 1), 0)::INT + 1] AS lo, CASE WHEN i = 3 THEN 9.0::DOUBLE ELSE a[round_even((i + 1) / 4.0 * (len(a) - 1), 0)::INT + 1] END AS hi FROM e CROSS JOIN range(0, 4) r(i)) SELECT i::INT AS quartile, count(score) AS n, round(avg(cer), 6) AS mean_cer FROM q LEFT JOIN (SELECT * FROM trials WHERE present AND NOT reject) t ON score >= lo AND score < hi GROUP BY i")
 def score_quartiles(spark, d):
     t = D.trials(spark, d).where("present and not reject").select("score", "cer")
-    a = t.agg(M.ordered(F.col("score")).alias("a"))
-    at = lambda i: F.element_at("a", F.bround(i / F.lit(4.0) * (F.size("a") - 1)).cast("int") + 1)
-    edges = a.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("quartile"))).select("quartile", at(F.col("quartile")).alias("lo"), F.when(F.col("quartile") == 3, 9.0).otherwise(at(F.least(F.col("quartile") + 1, F.lit(4)))).alias("hi"))
+    q = O.order_statistics(t, [], "score", {f"q{i}": O.nearest_at(i / 4) for i in range(4)})
+    sides = [F.struct(F.lit(i).alias("quartile"), F.col(f"q{i}").alias("lo"), (F.col(f"q{i + 1}") if i < 3 else F.lit(9.0)).alias("hi")) for i in range(4)]
+    edges = q.select(F.explode(F.array(*sides)).alias("e")).select("e.*")
     return F.broadcast(edges).join(t, (F.col("score") >= F.col("lo")) & (F.col("score") < F.col("hi")), "left").groupBy("quartile").agg(F.count("score").alias("n"), F.round(F.avg("cer"), 6).alias("mean_cer"))
 
 
@@ -476,7 +478,8 @@ def cer_buckets(spark, d, pairs=D.pairs):
     n, m = F.length("ref"), F.length("hyp")
     tests = {"short_ref": n < 50, "long_ref": n >= 50, "hyp_longer": m > n}
     b = pairs(spark, d).select("cer", F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), c.alias("x")) for k, c in tests.items()])).alias("u")).where("u.x")
-    return b.groupBy(F.col("u.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("mean"), M.at_nearest(F.col("cer"), 0.5).alias("p50"))
+    b = b.select(F.col("u.bucket").alias("bucket"), "cer")
+    return b.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("mean")).join(O.order_statistics(b, ["bucket"], "cer", {"p50": O.nearest_at(0.5)}), "bucket")
 
 
 # ---- manifest, resume, submission ----
@@ -511,10 +514,9 @@ def failures(spark, d):
     return D.trials(spark, d).where("present = reject").select("uid", "split", F.when(F.col("present"), "false_reject").otherwise("false_accept").alias("kind"))
 
 
-@query(f"{T} SELECT (row_number() OVER (ORDER BY id, uid) - 1)::INT AS pos, id, content, cer FROM (SELECT vec_id AS id, uid, CASE WHEN reject THEN '' ELSE uid END AS content, CASE WHEN reject THEN 1.0::DOUBLE ELSE coalesce(cer, 1.0::DOUBLE) END AS cer FROM trials WHERE present)")
+@query(f"{T} SELECT (row_number() OVER (ORDER BY id, uid) - 1)::BIGINT AS pos, id, content, cer FROM (SELECT vec_id AS id, uid, CASE WHEN reject THEN '' ELSE uid END AS content, CASE WHEN reject THEN 1.0::DOUBLE ELSE coalesce(cer, 1.0::DOUBLE) END AS cer FROM trials WHERE present)")
 def submission(spark, d):
-    one = J.submission(D.trials(spark, d).select("uid", "split", F.col("vec_id").alias("id"), "reject", F.col("uid").alias("content"), "cer"))
-    return one.select(F.posexplode("results").alias("pos", "r")).select("pos", "r.*")
+    return J.submission(D.trials(spark, d).select("uid", "split", F.col("vec_id").alias("id"), "reject", F.col("uid").alias("content"), "cer"))
 
 
 @query(f"{T} SELECT uid, coalesce(TRY_CAST(NULL AS BIGINT), TRY_CAST(regexp_extract(uid, '_([0-9]+)$', 1) AS BIGINT)) AS id, CASE WHEN vec_id % 19 = 0 THEN 'pipeline_error' WHEN reject THEN 'reject' WHEN vec_id % 3 = 0 THEN 'accept' WHEN vec_id % 3 = 1 THEN 'accept_no_tse' ELSE 'extract_error' END AS decision FROM trials")

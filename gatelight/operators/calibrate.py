@@ -126,10 +126,14 @@ def gray_rescue(trials: DataFrame, margins: list[float], thresholds: list[float]
     return sweep(trials, rules, ["tp", "m", "ts"], ~accept)
 
 
-def sweep(rows: DataFrame, rules: DataFrame, params: list[str], reject: Column) -> DataFrame:
-    """Metrics of each rule of a short list; rules are broadcast to the rows, counts pre-aggregated."""
-    got = rows.crossJoin(F.broadcast(rules)).groupBy(*params).agg(
-        F.count_if("present").alias("np"), F.count_if(~F.col("present")).alias("nq"), F.count_if(F.col("present") & reject).alias("fr"), F.count_if(~F.col("present") & reject).alias("rj"))
+def sweep(rows: DataFrame, rules: DataFrame, params: list[str], reject: Column, weight: str | None = None) -> DataFrame:
+    """Metrics of each rule of a short list; rules are broadcast to the rows, counts pre-aggregated.
+
+    With `weight`, a row stands for that many.
+    """
+    w, p = F.col(weight) if weight else F.lit(1).cast("long"), F.col("present")
+    n = lambda which: F.coalesce(F.sum(F.when(which, w)), F.lit(0))
+    got = rows.crossJoin(F.broadcast(rules)).groupBy(*params).agg(n(p).alias("np"), n(~p).alias("nq"), n(p & reject).alias("fr"), n(~p & reject).alias("rj"))
     rr, frr = M.rate(F.col("rj"), F.col("nq"), 1.0), M.rate(F.col("fr"), F.col("np"), 0.0)
     return got.select(*params, F.round(rr, 9).alias("rr"), F.round(frr, 9).alias("frr"), F.round(M.contest(rr, frr), 9).alias("contest"))
 

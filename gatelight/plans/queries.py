@@ -278,8 +278,12 @@ def text_reject_grid(spark, d):
     rules = spark.createDataFrame([(k,) for k in KINDS], "kind string").crossJoin(_values(spark, "delta", [0.05, 0.1])).crossJoin(_values(spark, "len", [10.0, 15.0, 20.0]))
     hit = F.lit(False)
     for k in KINDS:
-        hit = F.when(F.col("kind") == k, R.text_rule(k, F.col("score") - F.col("thr"), F.col("primary"), F.col("tl"), F.col("task"), F.col("delta"), F.col("len"))).otherwise(hit)
-    return K.sweep(t, rules, ["kind", "delta", "len"], F.col("reject") | hit)
+        hit = F.when(F.col("kind") == k, R.text_rule(k, F.col("margin"), F.col("primary"), F.col("tl"), F.col("task"), F.col("delta"), F.col("len"))).otherwise(hit)
+    # a rule sees a margin only as under 0, or up to one of the deltas: rows are counted in such cells first
+    m = F.col("score") - F.col("thr")
+    margin = F.when(m < 0, -1.0).when(m <= 0.05, 0.05).when(m <= 0.1, 0.1).otherwise(9.0)
+    cells = t.groupBy("present", "reject", "primary", "tl", "task", margin.alias("margin")).agg(F.count("*").alias("n"))
+    return K.sweep(cells, rules, ["kind", "delta", "len"], F.col("reject") | hit, "n")
 
 
 MODES = ["score_only", "gray_reject_empty", "gray_reject_not_cmd", "gray_reject_wake_only", "gray_reject_empty_or_wake", "gray_accept_cmd"]

@@ -82,6 +82,8 @@ def decode_wav(data: bytes, rate: int = 16000) -> np.ndarray:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 2:
         x = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
+    elif width == 3:
+        x = np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).view("<i4").ravel().astype(np.float32) / 2**31
     else:
         x = np.frombuffer(raw, "<i4").astype(np.float32) / 2**31
     x = x.reshape(-1, channels).mean(1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gatelight.functions import text as X
 from gatelight.operators import calibrate as K
 from gatelight.operators import models, relational, rules, scoring, signal, windows
+from gatelight.plans import more  # noqa: F401
 from gatelight.plans.queries import QUERIES, SQL
 from gatelight.sources import records
 from gatelight.streaming import events
@@ -49,6 +50,55 @@ def test_alignment(spark):
     assert (one.s, one.d, one.i, one.ref_aligned, one.hyp_aligned) == (1, 0, 1, "a〔b〕c_", "a〔x〕c〔q〕")
 
 
+def test_alignment_golden():
+    assert X._align("", "ab") == (0, 0, 2, 0, "__", "ab") and X._align("", "") == (0, 0, 0, 0, "", "")
+    assert X._align("ab", "") == (0, 2, 0, 2, "〔a〕〔b〕", "__")
+    assert X._align("打开空调", "打开了空") == (2, 0, 0, 4, "打开〔空〕〔调〕", "打开〔了〕〔空〕")  # diagonal first
+    assert X._align("aab", "ab") == (0, 1, 0, 3, "〔a〕ab", "_ab")
+
+
+def test_ranks_without_whole_groups(spark):
+    from gatelight.operators import ranks
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), f"u{i}", rng.choice([None, 0.0, 0.25, 0.5, 1.0]), rng.choice([None, rng.randint(0, 200_000)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, uid string, c double, id long")
+    got = {r.g: r for r in ranks.order_statistics(df, ["g"], "c", {"mid": ranks.upper_middle, "p90": ranks.nearest_at(0.9), "low": ranks.floor_at(0.1)}).collect()}
+    for g in "ab":
+        x = sorted(c for h, _, c, _ in rows if h == g and c is not None)
+        n = len(x)
+        assert (got[g].mid, got[g].p90, got[g].low) == (x[n // 2], x[round(0.9 * (n - 1))], x[int(0.1 * (n - 1))])
+    turns = {r.uid: (r.turn, r["__gl_total"]) for r in ranks.ranked(df, ["g"], "uid", 5).collect()}
+    import hashlib
+    for g in "ab":
+        own = sorted((hashlib.md5(f"{u}|5".encode()).hexdigest(), u) for h, u, _, _ in rows if h == g)
+        assert [turns[u] for _, u in own] == [(i + 1, len(own)) for i in range(len(own))]
+    pos = {r.uid: r.pos for r in ranks.numbered(df, "id", "uid", width=5000).collect()}
+    assert [pos[u] for _, u, _, i in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, r[1]))] == list(range(500))
+
+
+def test_missing_scores_raise(spark):
+    from gatelight.operators import overlay
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, t string"), spark.createDataFrame([(1, 0.5)], "k long, s double")
+    with pytest.raises(Exception, match="no score for 2"):
+        overlay.joined(a, b, "k").collect()
+    assert overlay.joined(a.where("k = 1"), b, "k").count() == 1
+
+
+def test_24_bit_wav():
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(3)
+        w.setframerate(16000)
+        w.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for v in (0, 1 << 22, -(1 << 22), (1 << 23) - 1, -(1 << 23))))
+    assert np.allclose(records.decode_wav(out.getvalue()), [0, 0.5, -0.5, 1, -1], atol=1e-6)
+
+
 def test_text_rules(spark):
     rows = spark.createDataFrame([("", 3.0), ("开", 4.0), ("打开空调", 1.5)], "h string, s double")
     assert [r[0] for r in rows.select(X.duration_mismatch(F.col("h"), F.col("s"))).collect()] == [True, True, False]

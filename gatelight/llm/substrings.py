@@ -465,7 +465,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
 low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
 gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 13))))) AS g FROM win JOIN low USING (s) WHERE m < doc_id GROUP BY doc_id),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of extraction back ends and what they stand for.
+# Names of separation back ends and what they stand for.
 BACKENDS = {
     "ps4": ["ps4", "ps4_bsrnn", "bsrnn"],
     "wesep_bsrnn": ["wesep", "wesep_bsrnn", "wesep_bsrnn_ecapa"],
@@ -67,7 +67,7 @@ ENCODERS: dict[str, Callable[[], Encoder]] = {"fake": FakeEncoder}
 
 
 def backend(name: Column) -> Column:
-    """Canonical name of an extraction back end; none given is ps4, unknown ones raise."""
+    """Canonical name of a separation back end; none given is ps4, unknown ones raise."""
     low = F.lower(F.trim(F.coalesce(F.nullif(name, F.lit("")), F.lit("ps4"))))
     out = None
     for canonical, names in BACKENDS.items():

@@ -32,7 +32,7 @@ def stale(done: DataFrame, current: DataFrame, key: str, compare: list[str]) ->
 
 
 def row_id(id_col: Column, uid: Column) -> Column:
-    return F.coalesce(id_col.try_cast("long"), F.regexp_extract(uid, r"_(\d+)$", 1).try_cast("long"))
+    return F.coalesce(id_col.try_cast("long"), F.regexp_substr(uid, F.lit(r"(?<=_)\d+$")).try_cast("long"))
 
 
 def label_of(label: Column, split: Column) -> Column:

@@ -72,9 +72,9 @@ def band_mode(mode: str, below: Column, gray: Column, empty: Column, command: Co
     return F.when(gray & yes, False).when(gray & no, True).otherwise(below)
 
 
-def decision(score: Column, thr: Column, extract_status: Column) -> Column:
-    """reject, accept, accept_no_tse, extract_error or pipeline_error."""
-    done = F.when(extract_status == "ok", "accept").when(extract_status == "none", "accept_no_tse").otherwise("extract_error")
+def decision(score: Column, thr: Column, stream_status: Column) -> Column:
+    """reject, accept, accept_no_tse, stream_error or pipeline_error."""
+    done = F.when(stream_status == "ok", "accept").when(stream_status == "none", "accept_no_tse").otherwise("stream_error")
     return F.when(score.isNull(), "pipeline_error").when(score < thr, "reject").otherwise(done)
 
 

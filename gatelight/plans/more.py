@@ -128,11 +128,11 @@ def class_agreement(spark, d):
     return got.groupBy("a").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"), F.round(F.avg(same.cast("int")), 6).alias("agreement"), F.count_if(F.col("hit").isNull()).alias("n_unlabelled"))
 
 
-@query(f"{T} SELECT spk AS backend, count_if(present AND NOT reject) AS n_accepted_present, count_if(NOT reject AND vec_id % 11 = 0) AS n_extract_error, round(avg(score) FILTER (present), 6) AS mean_present, round(avg(score) FILTER (NOT present), 6) AS mean_absent, round(max(score) - min(score), 6) AS span FROM trials GROUP BY spk")
+@query(f"{T} SELECT spk AS backend, count_if(present AND NOT reject) AS n_accepted_present, count_if(NOT reject AND vec_id % 11 = 0) AS n_stream_error, round(avg(score) FILTER (present), 6) AS mean_present, round(avg(score) FILTER (NOT present), 6) AS mean_absent, round(max(score) - min(score), 6) AS span FROM trials GROUP BY spk")
 def backend_ab(spark, d):
     p, s, ok = F.col("present"), F.col("score"), ~F.col("reject")
     return D.trials(spark, d).groupBy(F.col("spk").alias("backend")).agg(
-        F.count_if(p & ok).alias("n_accepted_present"), F.count_if(ok & (F.col("vec_id") % 11 == 0)).alias("n_extract_error"),
+        F.count_if(p & ok).alias("n_accepted_present"), F.count_if(ok & (F.col("vec_id") % 11 == 0)).alias("n_stream_error"),
         F.round(F.avg(F.when(p, s)), 6).alias("mean_present"), F.round(F.avg(F.when(~p, s)), 6).alias("mean_absent"), F.round(F.max(s) - F.min(s), 6).alias("span"),
     )
 

@@ -360,7 +360,7 @@ def genre(spark, d):
 
 
 _V = _alt(sorted(X.ACT_VERBS, key=lambda v: (-len(v), v)))
-_NV = f"(len(regexp_extract_all(t, '{_V}')) + CASE WHEN regexp_matches(t, '^[开关放换]') AND NOT regexp_matches(t, '^({_V})') AND length(t) >= 3 AND NOT starts_with(t, '关于') THEN 1 ELSE 0 END)"
+_NV = f"(len(string_split_regex(t, '{_V}')) - 1 + CASE WHEN regexp_matches(t, '^[开关放换]') AND NOT regexp_matches(t, '^({_V})') AND length(t) >= 3 AND NOT starts_with(t, '关于') THEN 1 ELSE 0 END)"
 
 
 @query(f"{Z} SELECT k, {_NV}::INT AS n_verb FROM said")
@@ -377,7 +377,7 @@ def text_class(spark, d):
     return c.select("k", "c.primary", "c.len")
 
 
-@query(f"""{Z}, f AS (SELECT k, t, len(regexp_extract_all(t, '{X.CJK}')) AS c, len(regexp_extract_all(t, '[A-Za-z]')) AS l, length(t) AS n FROM said)
+@query(f"""{Z}, f AS (SELECT k, t, length(t) - length(regexp_replace(t, '{X.CJK}', '', 'g')) AS c, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS l, length(t) AS n FROM said)
  SELECT k, CASE WHEN n = 0 THEN 'empty' WHEN c = 0 AND l = 0 THEN 'other' WHEN c > 0 AND l > 0 THEN 'mix' WHEN c > 0 THEN 'zh' ELSE 'en' END AS text_lang, CASE WHEN c > 0 THEN 'zh' ELSE 'en' END AS manifest_lang,
  CASE WHEN c > 0 THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'zh' END AS threshold_lang, CASE WHEN n = 0 THEN NULL WHEN c >= greatest(1, n // 2) THEN 'Chinese' WHEN regexp_full_match(t, '[a-z0-9]+') THEN 'English' END AS recognizer_lang FROM f""")
 def text_languages(spark, d):
@@ -523,7 +523,7 @@ def submission(spark, d):
     return J.submission(D.trials(spark, d).select("uid", "split", F.col("vec_id").alias("id"), "reject", F.col("uid").alias("content"), "cer"))
 
 
-@query(f"{T} SELECT uid, coalesce(TRY_CAST(NULL AS BIGINT), TRY_CAST(regexp_extract(uid, '_([0-9]+)$', 1) AS BIGINT)) AS id, CASE WHEN vec_id % 19 = 0 THEN 'pipeline_error' WHEN reject THEN 'reject' WHEN vec_id % 3 = 0 THEN 'accept' WHEN vec_id % 3 = 1 THEN 'accept_no_tse' ELSE 'extract_error' END AS decision FROM trials")
+@query(f"{T} SELECT uid, coalesce(TRY_CAST(NULL AS BIGINT), TRY_CAST(string_split(uid, '_')[-1] AS BIGINT)) AS id, CASE WHEN vec_id % 19 = 0 THEN 'pipeline_error' WHEN reject THEN 'reject' WHEN vec_id % 3 = 0 THEN 'accept' WHEN vec_id % 3 = 1 THEN 'accept_no_tse' ELSE 'stream_error' END AS decision FROM trials")
 def decisions(spark, d):
     status = F.element_at(F.array(F.lit("ok"), F.lit("none"), F.lit("failed")), (F.col("vec_id") % 3 + 1).cast("int"))
     return D.trials(spark, d).select("uid", J.row_id(F.lit(None).cast("string"), F.col("uid")).alias("id"), R.decision(F.when(F.col("vec_id") % 19 != 0, F.col("score")), F.col("thr"), status).alias("decision"))

@@ -70,7 +70,7 @@ def resolve_path(rows: DataFrame, files: DataFrame, choices: list) -> DataFrame:
 def speaker_of(path):
     """Speaker id from a file's name: SSB and four digits, else the name without a numeric suffix."""
     name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
-    coded = F.regexp_extract(name, r"(SSB\d{4})", 1)
+    coded = F.coalesce(F.regexp_substr(name, F.lit(r"SSB\d{4}")), F.lit(""))
     return F.when(coded != "", coded).otherwise(F.regexp_replace(name, r"[_-]?\d+$", ""))
 
 

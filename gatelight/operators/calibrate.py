@@ -143,3 +143,24 @@ def weighted(trials: DataFrame, alphas: list[float]) -> DataFrame:
     each = trials.select("present", "s1", "s2", F.explode(F.array(*map(F.lit, alphas))).alias("a"))
     each = each.withColumn("score", F.round(F.col("a") * F.col("s1") + (1 - F.col("a")) * F.col("s2"), 4))
     return select_contest(curve(each, ["a"]), ["a"])
+
+
+def holdout_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, thr, n_present, n_absent, rr, frr, contest): the threshold chosen on the rows not held out, judged on those that are."""
+    best = select_contest(curve(rows.where(~F.col("held_out")), keys), keys).select(*keys, F.col("thr").alias("__gl_thr"))
+    p, low = F.col("present"), F.col("score") < F.col("__gl_thr")
+    got = rows.where("held_out").join(F.broadcast(best), keys).groupBy(*keys, F.col("__gl_thr").alias("thr")).agg(
+        F.count_if(p).alias("n_present"), F.count_if(~p).alias("n_absent"), F.count_if(p & low).alias("fr"), F.count_if(~p & low).alias("rj"),
+    )
+    rr, frr = M.rate(F.col("rj"), F.col("n_absent"), 1.0), M.rate(F.col("fr"), F.col("n_present"), 0.0)
+    return got.select(*keys, "thr", "n_present", "n_absent", F.round(rr, 9).alias("rr"), F.round(frr, 9).alias("frr"), F.round(M.contest(rr, frr), 9).alias("contest"))
+
+
+def rule_list(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(name, *keys, rr, frr, contest) of named reject conditions, all counted in one pass without multiplying rows."""
+    p = F.col("present")
+    hits = [F.struct(F.lit(n).alias("name"), F.count_if(p & c).alias("fr"), F.count_if(~p & c).alias("rj")) for n, c in rules.items()]
+    got = rows.groupBy(*keys).agg(F.count_if(p).alias("np"), F.count_if(~p).alias("nq"), F.array(*hits).alias("r"))
+    got = got.select(*keys, "np", "nq", F.explode("r").alias("r")).select(*keys, "np", "nq", "r.*")
+    rr, frr = M.rate(F.col("rj"), F.col("nq"), 1.0), M.rate(F.col("fr"), F.col("np"), 0.0)
+    return got.select("name", *keys, F.round(rr, 9).alias("rr"), F.round(frr, 9).alias("frr"), F.round(M.contest(rr, frr), 9).alias("contest"))

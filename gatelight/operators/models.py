@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.functions import text as X
+
 # Names of separation back ends and what they stand for.
 BACKENDS = {
     "ps4": ["ps4", "ps4_bsrnn", "bsrnn"],
@@ -145,3 +147,107 @@ def gated(df: DataFrame, gate: Column, f: Callable[[DataFrame], DataFrame]) -> D
 def context_of(explicit: Column, hotwords: Column, domain: Column, wake: Column) -> Column:
     full = lambda c: F.nullif(c, F.lit(""))
     return F.coalesce(full(explicit), full(hotwords), full(domain), full(wake))
+
+
+# Names of the speaker encoders with their aliases.
+ENCODER_NAMES = {
+    "eres2netv2": ["eres2netv2", "eres", "eres2net"], "campplus": ["campplus", "cam++", "campplus_zh"],
+    "vblink2": ["vblink2", "vblink", "vblinkp", "samresnet34"], "resnet34": ["resnet34", "resnet34_lm", "wespeaker"],
+}
+
+
+def encoder(name: str, known: dict[str, Callable[[], Encoder]] | None = None) -> Callable[[], Encoder]:
+    """The factory registered for a name or an alias of it; the neural back ends are the caller's to register."""
+    known, low = ENCODERS if known is None else known, (name or "eres2netv2").strip().lower()
+    for canonical in [low, *(c for c, names in ENCODER_NAMES.items() if low in names)]:
+        if canonical in known:
+            return known[canonical]
+    raise KeyError(f"no encoder registered for {name!r}")
+
+
+class Extractor(Protocol):
+    """Takes the voice of an enrolment out of a mix."""
+
+    def extract(self, mix: np.ndarray, enrol: np.ndarray) -> np.ndarray: ...
+
+
+class MixExtractor:
+    """The mix as it is, at a peak of 0.95."""
+
+    def extract(self, mix, enrol):
+        top = np.abs(mix).max(initial=0)
+        return mix if top < 1e-8 else (mix * (0.95 / top)).astype(np.float32)
+
+
+class RouteExtractor:
+    """The separated voice whose embedding is nearest the enrolment's, the first of equals; a silent mix stays."""
+
+    def __init__(self, encoder: Encoder, separator: Separator):
+        self.encoder, self.separator = encoder, separator
+
+    def extract(self, mix, enrol):
+        if not len(mix):
+            return mix
+        voices = list(self.separator.separate(mix))
+        e, *found = (np.asarray(v, np.float64) for v in self.encoder.embed([enrol, *voices]))
+        sims = [float(e @ v / ((np.linalg.norm(e) + 1e-8) * (np.linalg.norm(v) + 1e-8))) for v in found]
+        return voices[int(np.argmax(sims))]
+
+
+def shortened(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, tries: int = 3) -> np.ndarray:
+    """f(x); out of memory, f of half the length, and so on; the last failure is raised."""
+    for left in range(tries, -1, -1):
+        try:
+            return f(x)
+        except MemoryError:
+            if not left or len(x) < 2:
+                raise
+            x = x[: len(x) // 2]
+    raise AssertionError
+
+
+def extract(df: DataFrame, factory: Callable[[], Extractor], mix: str, enrol: str, out: str = "extracted") -> DataFrame:
+    """`df` with `out`, the extracted waveform, and extract_error, null where it worked; one model for each task."""
+    extra = f"{out} array<float>, extract_error string"
+
+    def run(batches):
+        model = factory()
+        for pdf in batches:
+            wavs, errors = [], []
+            for m, e in zip(pdf[mix], pdf[enrol], strict=True):
+                try:
+                    e32 = np.asarray(e, np.float32)
+                    wavs.append(shortened(lambda x, e32=e32: model.extract(x, e32), np.asarray(m, np.float32)))
+                    errors.append(None)
+                except Exception as e:  # the row's own record
+                    wavs.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(**{out: wavs, "extract_error": errors})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, {extra}")
+
+
+def retry_mismatched(df: DataFrame, factory: Callable[[], Recognizer], wav: str, mix: str, seconds: str, domain: str) -> DataFrame:
+    """`df` (with asr_text, language, context) with asr_pass: texts that don't fit their duration are decoded anew.
+
+    First as Chinese in the domain's context, unless that was how; then, still unfit, from the mix. An empty
+    answer changes nothing. Only unfit rows reach a model.
+    """
+    plain = df.withColumn("asr_pass", F.lit("primary"))
+    unfit = lambda: X.duration_mismatch(F.col("asr_text"), F.col(seconds))
+    columns = plain.columns
+
+    def again(rows: DataFrame, source: str, lang, context, name: str) -> DataFrame:
+        asked = rows.withColumns({"__gl_old": F.col("asr_text"), "__gl_lang": lang, "__gl_ctx": context, "__gl_wav": F.col(source)}).drop("asr_text")
+        said = recognize(asked, factory, "__gl_lang", "__gl_ctx", "__gl_wav")
+        better = F.trim(F.coalesce("asr_text", F.lit(""))) != ""
+        return said.withColumns({"asr_pass": F.when(better, name).otherwise(F.col("asr_pass")), "asr_text": F.when(better, F.col("asr_text")).otherwise(F.col("__gl_old"))}).select(*columns)
+
+    def step(rows: DataFrame, which: Column, *args) -> DataFrame:
+        which = F.coalesce(which, F.lit(False))
+        return rows.where(~which).select(*columns).unionByName(again(rows.where(which), *args))
+
+    asked = F.coalesce((F.col("language") == "Chinese") & (F.col("context") == domain), F.lit(False))
+    once = step(plain, unfit() & ~asked, wav, F.lit("Chinese"), F.lit(domain), "retry_decode")
+    return step(once, unfit() & F.col(mix).isNotNull(), mix, F.col("language"), F.col("context"), "retry_mix")

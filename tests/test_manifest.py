@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatelight.functions import text as X
 from gatelight.operators import calibrate as K
 from gatelight.operators import manifest as N
+from gatelight.plans import batch  # noqa: F401
 from gatelight.plans import views as D
 from gatelight.plans.queries import QUERIES
 

@@ -111,7 +111,7 @@ def lift(cfg: RunConfig, tables: Tables) -> Tables:
     got = rows.groupBy("arm").agg(*M.contest_metrics(F.col("present"), F.col("reject"), F.col("cer")), *extra)
     score = got.where("arm = 'score'").select(F.col("contest").alias("__gl_c"))
     got = got.crossJoin(F.broadcast(score)).withColumn("gain", F.round(F.col("contest") - F.col("__gl_c"), 6)).drop("__gl_c")  # one row
-    return {"lift": got.withColumn("go", (F.col("gain") >= 0.005) & (F.col("extra_pos") <= 5))}
+    return {"lift": got.withColumn("go", R.worthwhile(F.col("gain"), F.col("extra_pos")))}
 
 
 @command

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gatelight.functions import text as X
 from gatelight.operators import calibrate as K
 from gatelight.operators import models, relational, rules, scoring, signal, windows
-from gatelight.plans import batch, more  # noqa: F401
+from gatelight.plans import batch, more, texts  # noqa: F401
 from gatelight.plans.queries import QUERIES, SQL
 from gatelight.sources import records
 from gatelight.streaming import events

@@ -129,6 +129,7 @@ def test_pairs_of_whole_texts(spark, tmp_path):
     said = [("打开空调", "打开窗帘"), ("café é", "cafe e"), ("Ａｂ，c", "abc"), ("Turn on!", "turn off"), ("你好", ""), ("", "好"), (None, "é")]
     turns = [(k, i, role, t) for k, both in enumerate(said) for i, (role, t) in enumerate(zip(("user", "assistant"), both))]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "zh"), (1, None)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     clean = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if not c.isspace() and c not in X.CER_PUNCT).lower()
     want = {}
     for k, (a, b) in enumerate(said):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gatelight.operators.cube import Axis, Box, flag, no, yes
+
 # Frozen thresholds and overlay parameters.
 ZH_THRESHOLD, EN_THRESHOLD = 0.29305, 0.357868
 GRAY, MIN_LENGTH, MARGIN = 0.10, 15, 0.12
@@ -65,6 +67,28 @@ def text_rule(kind: str, margin: Column, primary: Column, text_len: Column, task
     }[kind]
 
 
+def text_axes(margin: Column, primary: Column, text_len: Column, task: Column, deltas: tuple, lengths: tuple) -> list[Axis]:
+    """What the kinds of `text_rule` look at, for grids of them; `below` says that the row is rejected already."""
+    chat = primary.isin("闲聊/背景", "其他", "空转写")
+    return [
+        flag("below", F.col("reject")), flag("up", margin >= 0), Axis("gray", tuple(deltas), lambda c: margin > c), Axis("length", tuple(lengths), lambda c: text_len >= c),
+        flag("tts", primary == "设备播报"), flag("chat", chat), flag("task", task),
+    ]
+
+
+def text_boxes(kind: Column, delta: Column, length: Column) -> list[Box]:
+    """The rejects of each kind of `text_rule`, and of the score, as boxes that don't meet."""
+    gray, long, short = {**yes("up"), "gray": (None, delta)}, {"length": (length, None)}, {"length": (None, length)}
+    kinds = {
+        "tts_anywhere": [yes("tts")], "tts_gray": [{**gray, **yes("tts")}], "len_gray": [{**gray, **long}], "nontask_gray": [{**gray, **no("task")}],
+        "chat_gray": [{**gray, **yes("chat")}], "len_or_nontask_gray": [{**gray, **long}, {**gray, **short, **no("task")}],
+        "len_and_nontask_gray": [{**gray, **long, **no("task")}], "len_or_chat_gray": [{**gray, **long}, {**gray, **short, **yes("chat")}],
+        "len_and_chat_gray": [{**gray, **long, **yes("chat")}], "len_anywhere": [long], "len_gray_or_tts": [yes("tts"), {**no("tts"), **gray, **long}],
+        "len_or_chat_gray_or_tts": [yes("tts"), {**no("tts"), **gray, **long}, {**no("tts"), **gray, **short, **yes("chat")}],
+    }
+    return [Box(yes("below")), *[Box({**no("below"), **b}, kind == k) for k, boxes in kinds.items() for b in boxes]]
+
+
 def band_mode(mode: str, below: Column, gray: Column, empty: Column, command: Column, wake_only: Column, wake_in: Column) -> Column:
     """Reject by score, corrected within the gray band by the recognised text."""
     no = {"score_only": F.lit(False), "gray_reject_empty": empty, "gray_reject_not_cmd": ~command, "gray_reject_wake_only": wake_only | empty, "gray_reject_empty_or_wake": empty | wake_only | wake_in, "gray_accept_cmd": F.lit(False)}[mode]

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from gatelight.functions import metrics as M
 from gatelight.operators import analysis as A
 from gatelight.operators import calibrate as K
+from gatelight.operators import cube as B
 from gatelight.operators import overlay as V
 from gatelight.operators import relational as J
 from gatelight.operators import rules as R
 from gatelight.plans import views as D
-from gatelight.plans.queries import P, RATES, T, _curve_sql, query
+from gatelight.plans.queries import P, RATES, T, _curve_sql, gray_axes, in_gray, query, veto_axis
 
 #: Recognition records: the text of the document with the vector's number.
 REC = "rec AS (SELECT doc_id AS vec_id, coalesce(length(text), 0)::INT AS tl, coalesce(regexp_matches(text, '[0-9]'), false) AS digits, lang AS text_lang, source FROM documents)"
@@ -236,11 +237,12 @@ viable AS (SELECT grid.*, round(grid.contest - b.contest, 9) AS gain, round(grid
 def _search(spark, d):
     t, rec = _known(spark, d)
     both = V.joined(t, rec, "vec_id").select("present", "reject", "score", "thr", "s2", "tl")
-    rules = spark.createDataFrame([(g, m, n) for g in (0.02, 0.05, 0.1, 0.2) for m in (0.0, 0.05, 0.12, 0.2) for n in (0, 100, 500)], "gray double, margin double, len int")
-    s, thr = F.col("score"), F.col("thr")
-    hit = R.upper_gray(s, thr, F.col("gray")) & (F.col("s2") < s - F.col("margin")) & (F.col("tl") >= F.col("len"))
-    grid = K.sweep(both, rules, ["gray", "margin", "len"], F.col("reject") | hit)
-    base = K.sweep(both, spark.createDataFrame([(0,)], "one int"), ["one"], F.col("reject"))
+    grays, margins, lengths = (0.02, 0.05, 0.1, 0.2), (0.0, 0.05, 0.12, 0.2), (0, 100, 500)
+    rules = spark.createDataFrame([(g, m, n) for g in grays for m in margins for n in lengths], "gray double, margin double, len int")
+    axes = [*gray_axes(grays), veto_axis(margins), B.Axis("length", lengths, lambda c: F.col("tl") >= c)]
+    hit = B.Box({**in_gray(), "margin": (F.col("margin"), None), "length": (F.col("len"), None)})
+    grid = B.rule_metrics(both, axes, rules, ["gray", "margin", "len"], [B.Box(B.yes("below")), hit])
+    base = B.rule_metrics(both, axes[:1], spark.createDataFrame([(0,)], "one int"), ["one"], [B.Box(B.yes("below"))])
     return A.viable(grid, base, 0.0, 0.05)
 
 
@@ -257,10 +259,14 @@ def rule_choice(spark, d):
 @query(f"{T}, {REC}, known AS (SELECT * FROM trials JOIN rec USING (vec_id)), r AS (SELECT delta, len, nontask, present, reject OR score < thr + delta OR (score - thr BETWEEN 0 AND 0.1 AND tl >= len AND (NOT nontask OR NOT digits)) AS x FROM known CROSS JOIN (VALUES (0.0::DOUBLE), (0.02)) a(delta) CROSS JOIN (VALUES (200), (800)) b(len) CROSS JOIN (VALUES (false), (true)) c(nontask)), n AS (SELECT delta, len, nontask, count_if(present) AS np, count_if(NOT present) AS nq, count_if(present AND x) AS fr, count_if(NOT present AND x) AS rj FROM r GROUP BY ALL) SELECT delta, len, nontask, {RATES} FROM n")
 def stricter_overlay(spark, d):
     t, rec = _known(spark, d)
-    rules = spark.createDataFrame([(a, b, c) for a in (0.0, 0.02) for b in (200, 800) for c in (False, True)], "delta double, len int, nontask boolean")
-    s, thr = F.col("score"), F.col("thr")
-    hit = (s < thr + F.col("delta")) | (R.upper_gray(s, thr, F.lit(0.1)) & (F.col("tl") >= F.col("len")) & (~F.col("nontask") | ~F.col("digits")))
-    return K.sweep(V.joined(t, rec, "vec_id"), rules, ["delta", "len", "nontask"], F.col("reject") | hit)
+    deltas, lengths = (0.0, 0.02), (200, 800)
+    rules = spark.createDataFrame([(a, b, c) for a in deltas for b in lengths for c in (False, True)], "delta double, len int, nontask boolean")
+    shift = B.Axis("shift", deltas, lambda c: F.col("score") >= F.col("thr") + c)
+    axes = [*gray_axes((0.1,)), shift, B.Axis("length", lengths, lambda c: F.col("tl") >= c), B.flag("digits", F.col("digits"))]
+    # not below, nor by the shift, but long in the gray band; with nontask only without digits
+    long = {**B.no("below"), **B.yes("up"), "gray": (None, F.lit(0.1)), "shift": (F.col("delta"), None), "length": (F.col("len"), None), "digits": (None, F.when(F.col("nontask"), 1))}
+    boxes = [B.Box(B.yes("below")), B.Box({**B.no("below"), "shift": (None, F.col("delta"))}), B.Box(long)]
+    return B.rule_metrics(V.joined(t, rec, "vec_id"), axes, rules, ["delta", "len", "nontask"], boxes)
 
 
 # ---- calibration document ----

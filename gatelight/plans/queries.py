@@ -9,6 +9,7 @@ from gatelight.functions import metrics as M
 from gatelight.functions import text as X
 from gatelight.functions import vector as V
 from gatelight.operators import calibrate as K
+from gatelight.operators import cube as B
 from gatelight.operators import ranks as O
 from gatelight.operators import relational as J
 from gatelight.operators import rules as R
@@ -249,16 +250,34 @@ def _values(spark, name, xs):
     return spark.createDataFrame([(x,) for x in xs], f"{name} double")
 
 
+def gray_axes(grays) -> list[B.Axis]:
+    """Whether a row is below its threshold, at least at it, and more than a width above it."""
+    s, thr = F.col("score"), F.col("thr")
+    return [B.flag("below", F.col("reject")), B.flag("up", s - thr >= 0), B.Axis("gray", tuple(grays), lambda c: s - thr > c)]
+
+
+def in_gray() -> dict:
+    """Accepted rows no more than the rule's `gray` above the threshold."""
+    return {**B.no("below"), **B.yes("up"), "gray": (None, F.col("gray"))}
+
+
+def veto_axis(margins) -> B.Axis:
+    """Margins by which the second score is lower."""
+    return B.Axis("margin", tuple(margins), lambda c: F.col("s2") < F.col("score") - c)
+
+
 @query(f"{T}, " + _rule_sql("SELECT * FROM (VALUES (0.0::DOUBLE), (0.01), (0.02), (0.05), (0.1), (0.15), (0.25)) v(delta)", "delta", "score < thr + delta"))
 def tau_shift_sweep(spark, d):
-    return K.sweep(D.trials(spark, d), _values(spark, "delta", [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.25]), ["delta"], F.col("score") < F.col("thr") + F.col("delta"))
+    deltas = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.25)
+    shift = B.Axis("shift", deltas, lambda c: F.col("score") >= F.col("thr") + c)
+    return B.rule_metrics(D.trials(spark, d), [shift], _values(spark, "delta", deltas), ["delta"], [B.Box({"shift": (None, F.col("delta"))})])
 
 
 @query(f"{T}, " + _rule_sql("SELECT * FROM (VALUES (0.05::DOUBLE), (0.1), (0.2)) g(gray) CROSS JOIN (VALUES (0.05::DOUBLE), (0.12), (0.2)) m(margin)", "gray, margin", "reject OR (score - thr BETWEEN 0 AND gray AND s2 < score - margin)"))
 def veto_sweep(spark, d):
-    rules = _values(spark, "gray", [0.05, 0.1, 0.2]).crossJoin(_values(spark, "margin", [0.05, 0.12, 0.2]))
-    hit = R.upper_gray(F.col("score"), F.col("thr"), F.col("gray")) & (F.col("s2") < F.col("score") - F.col("margin"))
-    return K.sweep(D.trials(spark, d), rules, ["gray", "margin"], F.col("reject") | hit)
+    grays, margins = (0.05, 0.1, 0.2), (0.05, 0.12, 0.2)
+    rules = _values(spark, "gray", grays).crossJoin(_values(spark, "margin", margins))
+    return B.rule_metrics(D.trials(spark, d), [*gray_axes(grays), veto_axis(margins)], rules, ["gray", "margin"], [B.Box(B.yes("below")), B.Box({**in_gray(), "margin": (F.col("margin"), None)})])
 
 
 LEN = "(vec_id * 7) % 30"

@@ -16,12 +16,13 @@ from gatelight.plans.more import REC, _known
 from gatelight.plans.queries import _NV, P, RATES, SQL, T, query
 
 #: Normalised texts of all documents in the place of the sentences of `views.SAYINGS`.
-SAID = r"said AS (SELECT doc_id AS k, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\xA0]', '', 'g'), '[!-/:-@\[-`{-~，。！？、；：「」『』（）【】《》…·—–]', '', 'g')) AS t FROM documents)"
+SAID = r"""said AS (SELECT doc_id AS k, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\xA0]', '', 'g'),
+ '[-，。！？、；："''「」『』（）【】《》…·—–.,!?;:`]', '', 'g')) AS t FROM documents)"""
 _over_documents = lambda name: SQL[name].replace(D.SAYINGS_SQL, SAID)
 
 
 def _said(spark, d):
-    return X.normalize(D.read(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", "t").select("k", "t")
+    return X.normalize(D.read(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", "t", X.LING_PUNCT).select("k", "t")
 
 
 # ---- documents ----

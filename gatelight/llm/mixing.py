@@ -114,7 +114,7 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS INTEGER) AS cell,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+    coalesce(len([w FOR w IN string_split_regex(text, '[\x20\x09-\x0D]+') IF w <> '']), 0) AS size FROM documents),
 cells AS (SELECT source, cell, CAST(sum(size) AS BIGINT) AS cell_size FROM sized GROUP BY ALL),
 sources AS (SELECT source, CAST(sum(cell_size) AS BIGINT) AS size FROM cells GROUP BY source),
 weighed AS (SELECT source, size, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS w FROM sources),

@@ -23,13 +23,13 @@ REFRESH = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[
 
 def host_of(url: Column) -> Column:
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_replace(rest, r"(?s)[/?#].*", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.coalesce(F.when(F.instr(url, "://") > 0, host), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
-    return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)), F.lit(""))
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_replace(rest, r"(?s)^[^/?#]*|[?#].*", "")), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -47,7 +47,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def key_of(url: Column) -> Column:
     """What makes urls the same node: host, path without closing slashes, and query."""
-    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
+    query = F.regexp_replace(url, r"(?s)^[^?#]*|#.*", "")
     return F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query)
 
 
@@ -57,8 +57,9 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     Relative references to a path are taken up with the page's scheme and host.
     """
     url, html = F.col(url_col), F.col(html_col)
-    origin = F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1), host_of(url))
-    refs = F.array(F.regexp_extract(F.regexp_extract(html, LINK, 0), HREF, 1), F.regexp_extract(html, REFRESH, 1))
+    origin = F.concat(F.coalesce(F.regexp_substr(url, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), F.lit("")), host_of(url))
+    ref = lambda tag, pattern: F.regexp_replace(F.regexp_substr(tag, F.lit(pattern)), pattern, "$1")
+    refs = F.array_compact(F.array(ref(F.regexp_substr(html, F.lit(LINK)), HREF), ref(html, REFRESH)))
     one = pages.where(F.instr(url, "://") > 0).where(html.rlike(LINK) | html.rlike(REFRESH))
     one = one.select(url.alias("u"), origin.alias("o"), F.explode(refs).alias("r"))
     full = F.when(F.col("r").startswith("//"), F.concat(F.substring_index("o", "//", 1), "r")).when(F.col("r").startswith("/"), F.concat("o", "r")).otherwise(F.col("r"))
@@ -108,26 +109,29 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_url(u: str) -> tuple[str, str]:
     rest = f"substr({u}, strpos({u}, '://') + 3)"
-    host = f"CASE WHEN strpos({u}, '://') > 0 THEN translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
-    path = f"CASE WHEN strpos({u}, '://') > 0 THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+    host = f"CASE WHEN strpos({u}, '://') > 0 THEN translate(regexp_replace({rest}, '(?s)[/?#].*', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+    path = f"CASE WHEN strpos({u}, '://') > 0 THEN regexp_replace({rest}, '(?s)^[^/?#]*|[?#].*', '', 'g') ELSE '' END"
     return host, path
 
 
 def _sql_key(u: str) -> str:
     host, path = _sql_url(u)
-    return rf"({host}) || regexp_replace({path}, '/+$', '') || coalesce(regexp_extract({u}, '^[^?#]*(\?[^#]*)?', 1), '')"
+    return rf"({host}) || regexp_replace({path}, '/+$', '') || coalesce(regexp_replace({u}, '(?s)^[^?#]*|#.*', '', 'g'), '')"
 
 
 _HOST, _PATH = _sql_url("url")
 _NHOST, _NPATH = _sql_url("u")
+_quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+_LINK, _HREF, _REFRESH = map(_quoted, (LINK, HREF, REFRESH))
 _FITS = "((host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))"
 OP2_SQL = rf"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 refs AS (
   SELECT url AS u, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^\s"''>]+)', 1)]) AS r
-  FROM pages WHERE strpos(url, '://') > 0),
+    CASE WHEN regexp_matches(tag, {_HREF}) THEN regexp_replace(tag, '(?is)^.*?' || {_HREF} || '.*$', '\1') END,
+    CASE WHEN regexp_matches(html, {_REFRESH}) THEN regexp_replace(html, '(?is)^.*?' || {_REFRESH} || '.*$', '\1') END]) AS r
+  FROM (SELECT *, CASE WHEN regexp_matches(html, {_LINK}) THEN regexp_replace(html, '(?is)^.*?(' || {_LINK} || ').*$', '\1') END AS tag FROM pages)
+  WHERE strpos(url, '://') > 0),
 whole AS (
   SELECT u, CASE WHEN starts_with(r, '//') THEN split_part(u, '//', 1) || r
     WHEN starts_with(r, '/') THEN split_part(u, '//', 1) || '//' || ({_NHOST}) || r ELSE r END AS r FROM refs),

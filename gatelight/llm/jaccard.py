@@ -313,15 +313,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tup
     own = facts.where("kind = 0").select("id", "mark", "n", "d1", "d2")
     live = own.where("id is not null and n > 0")
     total = live.agg(F.sum("n")).first()[0] or 0
-    classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = live.groupBy("d1", "d2").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = classes.select("d1", "d2", F.col("least.id").alias("rep"), F.col("least.mark").alias("mark"), "copies", "n")
     roots = _clusters(base.where("id is not null"), k, t, hot, int(total * 0.4))
     sides = F.explode(F.array(F.struct(F.expr("d1 | 1L").alias("node"), F.lit(True).alias("own")), F.struct(F.expr("d1 & ~1L").alias("node"), F.lit(False).alias("own"))))
-    members = classes.select("*", sides.alias("side")).select("rep", "d1", "d2", "copies", "n", "side.*").join(roots, "node").drop("node")
+    members = classes.select("*", sides.alias("side")).select("rep", "mark", "d1", "d2", "copies", "n", "side.*").join(roots, "node").drop("node")
     sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     tiles = F.greatest(F.ceil(F.col("total") / TILE_SHINGLES), F.ceil(F.col("m") / TILE_SETS)).cast("int")
     members = members.join(sums, "root").withColumn("tiles", tiles)
     place = F.struct("root", "own", "tiles", F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")).cast("int").alias("tile"))
-    members = C.materialize(members.groupBy("rep", "d1", "d2", "copies").agg(F.collect_list(place).alias("places")))  # two at most
+    members = C.materialize(members.groupBy("rep", "mark", "d1", "d2", "copies").agg(F.collect_list(place).alias("places")))  # two at most
 
     def build(batches):
         sets = Sets(k)
@@ -334,7 +335,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tup
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([got[i].tobytes() for i in fine], pa.binary())], names=[*rest.schema.names, "shingles"])
 
     # never a broadcast: members grow with the corpus, and the plan is the same at every size
-    texts = base.join(members.withColumnRenamed("rep", "id").hint("merge"), "id").select(F.col("id").alias("rep"), "copies", "places", "d1", "d2", "text")
+    # equal rows are merged before the exchange, so a class has one text however often its row stands there
+    one = base.where("id is not null").dropDuplicates(["id", "mark"])
+    texts = one.join(members.withColumnRenamed("rep", "id").hint("merge"), ["id", "mark"]).select(F.col("id").alias("rep"), "copies", "places", "d1", "d2", "text")
     sets = texts.mapInArrow(C.streaming(build), "rep long, d1 long, d2 long, copies long, places array<struct<root:long,own:boolean,tiles:int,tile:int>>, shingles binary")
     keep = ["rep", "d1", "d2", "copies"]
     sets = sets.select(*keep, F.explode("places").alias("place"), "shingles").select(*keep, "place.*", "shingles")
@@ -346,7 +349,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tup
     node_type = pa.struct([("rep", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def links(g: pa.Table) -> pa.Table:
-        """Edges (a, b), and rows (a, null) with the number of linked rows in `n`."""
+        """Edges (a, b), and rows (a, null) with the number of linked rows in `n`; a set has a row for each interval."""
         keys = np.stack([g.column(c).to_numpy() for c in ("rep", "d1", "d2")], 1)
         keys, first, which = np.unique(keys, axis=0, return_index=True, return_inverse=True)  # repeated rows
         own = np.zeros(len(first), bool)

@@ -130,3 +130,23 @@ def test_tables_can_be_discarded(spark):
     common.discard(df)
     import os
     assert not os.path.exists(df._gl_path.removeprefix("file:"))
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    """Copies of a row, and near copies of it: no group of sets holds more than its classes."""
+    rng = random.Random(4)
+    words = [rng.choice("abcdefghij") * 3 + str(rng.randrange(1000)) for _ in range(80)]
+    near = [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in (0, 79)]
+    rows = [(1, " ".join(words))] * 5000 + [(2, near[0]), (3, near[1])]
+    seen = jaccard.C.grouped
+
+    def bounded(f):
+        def run(t):
+            assert "shingles" not in t.column_names or t.num_rows <= 6, t.num_rows
+            return f(t)
+
+        return seen(run)
+
+    monkeypatch.setattr(jaccard.C, "grouped", bounded)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {1: (1, 5001), 2: (1, 5001), 3: (1, 5001)}

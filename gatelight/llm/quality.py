@@ -116,10 +116,10 @@ def is_held_out(id_col: str):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets: list[str], limit: int) -> DataFrame:
-    """(text, *targets) of at most about `limit` labelled rows that aren't held out, drawn by hash.
+    """(text, *targets) of at most about `limit` labelled ids that aren't held out, drawn by hash.
 
     Rows of `labels` with a null id or target are left out; of several rows of one id the least
-    labels count.
+    labels count, and of several texts of one id the one of the least hash, so that an id is one row.
     """
     own = labels.where(F.col(id_col).isNotNull() & ~is_held_out(id_col))
     for t in targets:
@@ -130,7 +130,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         own = own.where(F.pmod(F.xxhash64("__gl_id"), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
     own = F.broadcast(own)  # `limit` rows by construction
     texts = docs.select(F.col(id_col).alias("__gl_id"), C.octets(text_col).alias("text"))
-    return texts.join(own, "__gl_id").drop("__gl_id")
+    known = texts.join(own, "__gl_id")
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return known.groupBy("__gl_id", *[f"__gl_{t}" for t in targets]).agg(text.alias("text")).drop("__gl_id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Ranker:

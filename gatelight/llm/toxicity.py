@@ -7,6 +7,7 @@ training and use see the same kind of input.
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -127,10 +128,15 @@ def rows_of(h: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> tuple[np.nda
     return h[np.repeat(mask, counts)], counts[mask]
 
 
+def folds_of(h: np.ndarray, counts: np.ndarray, folds: int) -> np.ndarray:
+    """A row's fold, by its words alone."""
+    return np.array([zlib.crc32(h[end - n : end].tobytes()) % folds for end, n in zip(np.cumsum(counts), counts, strict=True)], np.int64)
+
+
 def fit_chain(h: np.ndarray, counts: np.ndarray, y: np.ndarray, folds: int = FOLDS, max_words: int = MAX_WORDS) -> list[Link]:
-    """A link for each column of `y`, in order; fold of a row: its number modulo `folds`."""
+    """A link for each column of `y`, in order; a row's fold is by its words, so copies are never told apart."""
     n = len(counts)
-    fold = np.arange(n) % folds
+    fold = folds_of(h, counts, folds)
     before, chain = np.zeros((n, 0)), []
     for c in range(y.shape[1]):
         chain.append(fit_link(h, counts, before, y[:, c], max_words))

@@ -82,9 +82,9 @@ def test_out_of_fold_inputs():
     h, counts = np.concatenate(texts), np.array([len(t) for t in texts])
     y = np.stack([rng.integers(0, 2, n), rng.integers(0, 2, n)], 1)
     chain = toxicity.fit_chain(h, counts, y, folds=3, max_words=10)
-    before = np.zeros(n)
+    before, fold = np.zeros(n), toxicity.folds_of(h, counts, 3)
     for f in range(3):
-        inn = np.arange(n) % 3 != f
+        inn = fold != f
         link = toxicity.fit_link(np.concatenate([t for t, i in zip(texts, inn) if i]), counts[inn], np.zeros((inn.sum(), 0)), y[inn, 0], 10)
         out = [t for t, i in zip(texts, inn) if not i]
         before[~inn] = link.prob(toxicity.presence(np.concatenate(out), counts[~inn], link.vocab), np.zeros((len(out), 0)))
@@ -92,6 +92,24 @@ def test_out_of_fold_inputs():
     assert np.allclose(chain[1].words, want.words) and np.allclose(chain[1].earlier, want.earlier)
 
 
+def test_copies_are_in_one_fold():
+    rng = np.random.default_rng(2)
+    texts = [np.unique(rng.integers(0, 2**32, 9, dtype=np.uint32)) for _ in range(40)]
+    some = [texts[i % 40] for i in range(400)]
+    fold = toxicity.folds_of(np.concatenate(some), np.array([len(t) for t in some]), 4)
+    assert all(fold[i] == fold[i % 40] for i in range(400)) and set(fold.tolist()) == {0, 1, 2, 3}
+
+
+def test_a_labelled_id_is_one_row(spark):
+    """Ids that stand in thousands of rows send one text each to the driver, whatever the rows' order."""
+    rows = [(2, f"text {i % 7}") for i in range(3000)] + [(3, None)] * 1000 + [(7, "x")]
+    ids = [i for i in (2, 3, 7, 8) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, 1) for i in (2, 3, 7, 8)] * 3, "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((bytes(r.text) if r.text is not None else b"") for r in quality.labelled_sample(df, labels, "doc_id", "text", ["quality"], 10).collect()) for df in (docs, docs.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == len([i for i in ids if i != 8])
+
+
 def test_url_ties_and_clashing_columns(spark):
     rules = [("block", "a.com", "/x/"), ("allow", "a.com", "/x/"), ("block", "com", "/"), ("allow", "b.a.com", "/")]
     pages = spark.createDataFrame([(1, "http://a.com/x/1", None, "r", "v"), (2, "http://a.com/y", "", "r", "v"), (3, "http://b.a.com/y", "", "r", "v"), (3, "http://b.a.com/y", "", "r", "v"), (4, None, None, "r", "v"), (5, "x://" + "a" * 100_000, "<p>", "r", "v")],

@@ -19,6 +19,7 @@ from gatelight.operators import analysis as A
 from gatelight.operators import calibrate as K
 from gatelight.operators import relational as J
 from gatelight.operators import rules as R
+from gatelight.sources.ledger import in_chunks
 
 Tables = dict[str, DataFrame]
 COMMANDS: dict[str, Callable[[RunConfig, Tables], Tables]] = {}
@@ -116,9 +117,20 @@ def lift(cfg: RunConfig, tables: Tables) -> Tables:
 
 @command
 def recognize(cfg: RunConfig, tables: Tables) -> Tables:
-    """CERs of texts (uid, lang, ref, asr_text), both normalised here: rows, and a summary by language."""
-    t = X.normalize(X.normalize(tables["texts"], "ref", "ref_norm"), "asr_text", "hyp_norm")
-    rows = t.withColumn("cer", X.cer(F.coalesce("ref_norm", F.lit("")), F.coalesce("hyp_norm", F.lit("")))).withColumn("decode_tag", F.lit(cfg.decode_tag()))
+    """CERs of texts (uid, lang, ref, asr_text), both normalised here: rows, and a summary by language.
+
+    With `chunks` and `out_dir` the rows are made chunk by chunk in <out_dir>/recognize_chunks, and a restart of the same
+    texts and settings does the open chunks only.
+    """
+
+    def rated(texts: DataFrame) -> DataFrame:
+        t = X.normalize(X.normalize(texts, "ref", "ref_norm"), "asr_text", "hyp_norm")
+        return t.withColumn("cer", X.cer(F.coalesce("ref_norm", F.lit("")), F.coalesce("hyp_norm", F.lit("")))).withColumn("decode_tag", F.lit(cfg.decode_tag()))
+
+    if cfg.chunks and cfg.out_dir:
+        rows = in_chunks(tables["texts"], ["uid"], cfg.chunks, f"{cfg.out_dir}/recognize_chunks", rated, cfg.decode_tag())
+    else:
+        rows = rated(tables["texts"])
     return {"rows": rows, "summary": A.recognition_summary(rows.withColumn("reject", F.lit(False)), ["lang"])}
 
 

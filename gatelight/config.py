@@ -42,6 +42,7 @@ class RunConfig:
     asr_guess_language: bool = False
     asr_retry_mismatch: bool = False
     wav_source: str = "extracted"
+    chunks: int = 0
     asnorm: bool = False
     enroll_znorm: bool = False
     test_znorm: bool = False

@@ -165,27 +165,27 @@ def encoder(name: str, known: dict[str, Callable[[], Encoder]] | None = None) ->
     raise KeyError(f"no encoder registered for {name!r}")
 
 
-class Extractor(Protocol):
+class Isolator(Protocol):
     """Takes the voice of an enrolment out of a mix."""
 
-    def extract(self, mix: np.ndarray, enrol: np.ndarray) -> np.ndarray: ...
+    def isolate(self, mix: np.ndarray, enrol: np.ndarray) -> np.ndarray: ...
 
 
-class MixExtractor:
+class MixIsolator:
     """The mix as it is, at a peak of 0.95."""
 
-    def extract(self, mix, enrol):
+    def isolate(self, mix, enrol):
         top = np.abs(mix).max(initial=0)
         return mix if top < 1e-8 else (mix * (0.95 / top)).astype(np.float32)
 
 
-class RouteExtractor:
+class RouteIsolator:
     """The separated voice whose embedding is nearest the enrolment's, the first of equals; a silent mix stays."""
 
     def __init__(self, encoder: Encoder, separator: Separator):
         self.encoder, self.separator = encoder, separator
 
-    def extract(self, mix, enrol):
+    def isolate(self, mix, enrol):
         if not len(mix):
             return mix
         voices = list(self.separator.separate(mix))
@@ -206,9 +206,9 @@ def shortened(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, tries: int =
     raise AssertionError
 
 
-def extract(df: DataFrame, factory: Callable[[], Extractor], mix: str, enrol: str, out: str = "extracted") -> DataFrame:
-    """`df` with `out`, the extracted waveform, and extract_error, null where it worked; one model for each task."""
-    extra = f"{out} array<float>, extract_error string"
+def isolate(df: DataFrame, factory: Callable[[], Isolator], mix: str, enrol: str, out: str = "extracted") -> DataFrame:
+    """`df` with `out`, the extracted waveform, and isolate_error, null where it worked; one model for each task."""
+    extra = f"{out} array<float>, isolate_error string"
 
     def run(batches):
         model = factory()
@@ -217,12 +217,12 @@ def extract(df: DataFrame, factory: Callable[[], Extractor], mix: str, enrol: st
             for m, e in zip(pdf[mix], pdf[enrol], strict=True):
                 try:
                     e32 = np.asarray(e, np.float32)
-                    wavs.append(shortened(lambda x, e32=e32: model.extract(x, e32), np.asarray(m, np.float32)))
+                    wavs.append(shortened(lambda x, e32=e32: model.isolate(x, e32), np.asarray(m, np.float32)))
                     errors.append(None)
                 except Exception as e:  # the row's own record
                     wavs.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(**{out: wavs, "extract_error": errors})
+            yield pdf.assign(**{out: wavs, "isolate_error": errors})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, {extra}")

@@ -9,23 +9,55 @@ import wave
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructType
 
 from gatelight.operators.relational import keep_last
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False) -> DataFrame:
-    """Strict scan; with missing_ok an absent path gives no rows."""
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False, ordinal: str | None = None) -> DataFrame:
+    """Strict scan; with missing_ok an absent path gives no rows. `ordinal` names a column of line numbers."""
     try:
+        if ordinal:
+            return _numbered_jsonl(spark, path, schema, ordinal)
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException:
         if missing_ok:
-            return spark.createDataFrame([], schema)
+            empty = spark.createDataFrame([], schema)
+            return empty.withColumn(ordinal, F.lit(0).cast("long")).limit(0) if ordinal else empty
         raise
 
 
+def line_ordinals(spark: SparkSession, path: str, ordinal: str = "n") -> DataFrame:
+    """(value, `ordinal`): the lines of text files that aren't blank, numbered from 0 by file name and place in it.
+
+    A file is read in splits. A line's number is that of its split's first line, a running sum of counts over
+    the splits before it, plus its place in the split. Neither depends on where files are cut or on which
+    task reads what, and lines are never brought together: only the counts of the splits are, a row for each.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select("value", meta["file_path"].alias("__gl_file"), meta["file_block_start"].alias("__gl_at"), F.monotonically_increasing_id().alias("__gl_id"))
+    splits = lines.groupBy("__gl_file", "__gl_at").agg(F.count("*").alias("__gl_c"))
+    in_file = Window.partitionBy("__gl_file").orderBy("__gl_at").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("__gl_file").agg(F.sum("__gl_c").alias("__gl_all"))
+    before = Window.orderBy("__gl_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    zero = F.lit(0).cast("long")
+    files = files.select("__gl_file", F.coalesce(F.sum("__gl_all").over(before), zero).alias("__gl_base"))
+    begins = splits.withColumn("__gl_in", F.coalesce(F.sum("__gl_c").over(in_file), zero)).join(files, "__gl_file")
+    begins = begins.select("__gl_file", "__gl_at", (F.col("__gl_base") + F.col("__gl_in")).alias("__gl_begin"))
+    # a split is read by one task in the order of its lines, so that ids within it rise
+    place = F.row_number().over(Window.partitionBy("__gl_file", "__gl_at").orderBy("__gl_id")) - 1
+    return lines.withColumn("__gl_place", place).join(begins, ["__gl_file", "__gl_at"]).select("value", (F.col("__gl_begin") + F.col("__gl_place")).alias(ordinal))
+
+
+def _numbered_jsonl(spark: SparkSession, path: str, schema: StructType | str, ordinal: str) -> DataFrame:
+    lines = line_ordinals(spark, path, "__gl_n")
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    parsed = lines.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r"), "__gl_n")
+    return parsed.select("r.*", F.col("__gl_n").alias(ordinal))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 

@@ -49,8 +49,9 @@ def listing(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
 def stream_files(files: DataFrame, include_mix: bool = False) -> DataFrame:
     """(arm, split, uid, stream, path) of files d1/<split>/<uid>/<stream>.wav and d2/...: of d1 the tracks d1_*, of d2 all but `peak`;
     a mix of d1 is the stream of the arm without separation, and of the others only if wanted."""
-    part = lambda i: F.regexp_extract("path", r"/d([12])/([^/]+)/([^/]+)/([^/]+)\.wav$", i)
-    got = files.select("path", part(1).alias("depth"), part(2).alias("split"), part(3).alias("uid"), part(4).alias("stream")).where("depth <> '' and stream <> 'peak'")
+    found = files.where(F.col("path").rlike(r"/d[12]/[^/]+/[^/]+/[^/]+\.wav$"))
+    part = lambda i: F.substring_index(F.substring_index("path", "/", i - 5), "/", -1)  # noqa: E731  of the last four
+    got = found.select("path", F.substr(part(1), F.lit(2)).alias("depth"), part(2).alias("split"), part(3).alias("uid"), F.regexp_replace(part(4), r"\.wav$", "").alias("stream")).where("stream <> 'peak'")
     mix, once = F.col("stream") == "mix", F.col("depth") == "1"
     arms = F.array_compact(F.array(
         F.when(mix & once, F.lit("no_sep")), F.when(once & (F.startswith("stream", F.lit("d1_")) | (mix & F.lit(include_mix))), F.lit("sep_once")),
@@ -69,7 +70,7 @@ def with_fallback(streams: DataFrame, samples: DataFrame, files: DataFrame) -> D
 def read_cells(spark: SparkSession, reports: str) -> DataFrame:
     """(encoder, arm, uid, score, present) of all folders <encoder>__<arm> with a scores.jsonl, split at the first two underscores."""
     schema = "uid string, label string, presence_score double"
-    rows = spark.read.schema(schema).json(f"{reports}/*__*/scores.jsonl").select("*", F.regexp_extract("_metadata.file_path", r"/([^/]+)/scores\.jsonl$", 1).alias("cell"))
+    rows = spark.read.schema(schema).json(f"{reports}/*__*/scores.jsonl").select("*", F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1).alias("cell"))
     at = F.instr("cell", "__")
     return rows.select(
         F.substr("cell", F.lit(1), at - 1).alias("encoder"), F.substr("cell", at + 2).alias("arm"), F.coalesce("uid", F.lit("")).alias("uid"), F.col("presence_score").alias("score"),
@@ -77,12 +78,12 @@ def read_cells(spark: SparkSession, reports: str) -> DataFrame:
     )
 
 
-def run_summaries(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """One flat row for each named root, from the three JSON documents it may hold: extraction, recognition and threshold."""
+def run_summaries(spark: SparkSession, roots: dict[str, str], run_file: str = "reports/run_summary.json") -> DataFrame:
+    """One flat row for each named root, from the three JSON documents it may hold: run, recognition and threshold."""
     run = "overall struct<n: long, n_accept: long, rr: double, latency_ms: struct<p50: double>>, splits struct<pos: struct<frr: double>, neg: struct<rr: double, far: double>>, meta struct<tse_backend: string, pipeline: string>"
     rows = []
     for name, root in roots.items():
-        a = read_json_document(spark, f"{root}/reports/ve_summary.json", run).select(
+        a = read_json_document(spark, f"{root}/{run_file}", run).select(
             F.coalesce("meta.tse_backend", "meta.pipeline").alias("backend"), "overall.n", "overall.n_accept", F.coalesce("splits.neg.rr", "overall.rr").alias("rr"), F.col("splits.pos.frr").alias("frr"),
             F.col("splits.neg.far").alias("far"), F.col("overall.latency_ms.p50").alias("latency_p50_ms"),
         )

@@ -1,9 +1,7 @@
-"""Structured Streaming: windows over events, dedupe, resumable and invalidating sinks."""
+"""Structured Streaming: windows over events, sessions, dedupe."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,22 +37,3 @@ def first_of_key(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     if events.isStreaming:
         return watermarked(events, late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
-
-
-def append_new(source: DataFrame, target: str, checkpoint: str, keys: list[str], transform: Callable[[DataFrame], DataFrame]):
-    """A query that appends transformed rows whose keys `target` lacks; restarted, it goes on.
-
-    A batch that is run again after a failure finds its rows in the target and adds none twice.
-    """
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            done = spark.read.parquet(target).select(*keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = df.limit(0).select(*keys)
-        transform(df.dropDuplicates(keys).join(done, keys, "left_anti")).write.mode("append").parquet(target)
-
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)

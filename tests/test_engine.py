@@ -15,7 +15,7 @@ from gatelight.operators import models, relational, rules, scoring, signal, wind
 from gatelight.plans import batch, more, texts  # noqa: F401
 from gatelight.plans.queries import QUERIES, SQL
 from gatelight.sources import records
-from gatelight.streaming import events
+from gatelight.streaming import events, state
 
 D = "/root/testdata/sf0.001"
 
@@ -235,7 +235,7 @@ def test_streams(spark, tmp_path):
     spark.read.parquet(f"{D}/events.parquet").repartition(3).write.parquet(src)
     target = str(tmp_path / "out")
     for _ in range(2):
-        events.append_new(events.read_stream(spark, src), target, str(tmp_path / "cp"), ["event_id"], lambda df: df.select("event_id", "value")).start().awaitTermination()
+        state.append_new(events.read_stream(spark, src), target, str(tmp_path / "cp"), ["event_id"], lambda df: df.select("event_id", "value")).start().awaitTermination()
     assert spark.read.parquet(target).count() == spark.read.parquet(src).count()
     q = events.windowed(events.read_stream(spark, src), "1 hour", late="40 days").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
     q.awaitTermination()

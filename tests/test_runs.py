@@ -110,7 +110,7 @@ def test_cells_summaries_and_sources(spark, tmp_path):
     (tmp_path / "eres__sep__once" / "scores.jsonl").write_text('{"uid": "u", "label": "present", "presence_score": 0.5}\n{"uid": "v", "label": "absent", "presence_score": 0.1}\n')
     assert sorted(tuple(r) for r in runs.read_cells(spark, str(tmp_path)).collect()) == [("eres", "sep__once", "u", 0.5, True), ("eres", "sep__once", "v", 0.1, False)]
     (tmp_path / "a" / "reports").mkdir(parents=True)
-    (tmp_path / "a" / "reports" / "ve_summary.json").write_text(json.dumps({"overall": {"n": 3, "rr": 0.4}, "splits": {"pos": {"frr": 0.1}}, "meta": {"pipeline": "mix"}}))
+    (tmp_path / "a" / "reports" / "run_summary.json").write_text(json.dumps({"overall": {"n": 3, "rr": 0.4}, "splits": {"pos": {"frr": 0.1}}, "meta": {"pipeline": "mix"}}))
     got = {r.root: r for r in runs.run_summaries(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}).collect()}
     assert (got["a"].backend, got["a"].n, got["a"].rr, got["a"].frr, got["a"].thr) == ("mix", 3, 0.4, 0.1, None) and got["b"].n is None
     (tmp_path / "o.json").write_text('[{"id": 3}, {"id": 4, "uid": "x"}]')
@@ -174,7 +174,7 @@ def test_log_mel_and_overlap_add():
     assert np.abs(signal.overlap_add(x, lambda c: c * 2, 1000) - 2 * x)[1:].max() < 1e-3 and np.array_equal(signal.overlap_add(x[:900], lambda c: c, 1000), x[:900])
 
 
-def test_encoders_and_extractors(spark):
+def test_encoders_and_isolators(spark):
     known = {"eres2netv2": models.FakeEncoder, "mine": models.FakeEncoder}
     assert models.encoder(" ERES", known) is models.FakeEncoder and models.encoder("mine", known) is models.FakeEncoder
     with pytest.raises(KeyError):
@@ -191,8 +191,8 @@ def test_encoders_and_extractors(spark):
     with pytest.raises(MemoryError):
         models.shortened(tight, np.zeros(10**6))
     df = spark.createDataFrame([("u", signal.two_tones(0.1).tolist(), [0.1] * 100)], "uid string, mix array<float>, enrol array<float>")
-    row = models.extract(df, models.MixExtractor, "mix", "enrol").first()
-    assert row.extract_error is None and abs(max(map(abs, row.extracted)) - 0.95) < 1e-5
+    row = models.isolate(df, models.MixIsolator, "mix", "enrol").first()
+    assert row.isolate_error is None and abs(max(map(abs, row.extracted)) - 0.95) < 1e-5
 
     class Split:
         def separate(self, w):
@@ -203,7 +203,7 @@ def test_encoders_and_extractors(spark):
             return [np.array([np.abs(w).mean(), 1e-3]) for w in wavs]
 
     x = signal.two_tones(0.1)
-    assert np.array_equal(models.RouteExtractor(Mean(), Split()).extract(x, x), x)
+    assert np.array_equal(models.RouteIsolator(Mean(), Split()).isolate(x, x), x)
 
 
 def test_retry_of_unfit_texts(spark):

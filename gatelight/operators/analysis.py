@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import metrics as M
 from gatelight.operators import calibrate as K
-from gatelight.operators.ranks import hashed, nearest_at, order_statistics, ranked
+from gatelight.operators.ranks import floor_at, hashed, nearest_at, order_statistics, ranked, upper_middle
 
 
 def recognition_summary(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -106,3 +106,46 @@ def choose(grid: DataFrame, ties: list[Column]) -> DataFrame:
 def score_matrix(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Calibrated contest of each cell of (encoder, arm): rows have keys, present and score."""
     return K.select_contest(K.curve(cells, keys), keys)
+
+
+def grouped_quantiles(rows: DataFrame, key: str, value: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, is_all, *picks): values at places of the sorted order for each key and, with is_all, for all rows.
+
+    Values are counted once, under both groupings; a grouping is as many rows as it has different values. A null
+    key is a key. Groups without values have no row.
+    """
+    sets = rows.where(F.col(value).isNotNull()).groupingSets([[F.col(key), F.col(value)], [F.col(value)]], F.col(key), F.col(value))
+    counts = sets.agg(F.count("*").alias("__gl_c"), F.grouping(key).cast("boolean").alias("is_all"))
+    whole = Window.partitionBy("is_all", key)
+    upto = F.sum("__gl_c").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("__gl_n", F.sum("__gl_c").over(whole)).withColumn("__gl_upto", upto)
+    return counts.groupBy(key, "is_all").agg(*[F.min(F.when(F.col("__gl_upto") > at(F.col("__gl_n")), F.col(value))).alias(name) for name, at in picks.items()])
+
+
+def run_report(rows: DataFrame, split: str = "split") -> DataFrame:
+    """One row for each split and one for all (is_all) of rows with present, decision, score, cer and latency_ms.
+
+    Decisions are counted by name. A rejected positive has a CER of 1; one that is accepted but has none yet is pending, and
+    while any is, cer and contest are null. Rates of nothing are null, but without negatives rr counts as 0 in
+    contest, and without positives cer is 0. Latencies: mean, the upper middle one, and the one at 95 %.
+    An empty table gives no rows.
+    """
+    p, d = F.col("present"), F.col("decision")
+    n, n_pos, n_neg = F.count("*"), F.count_if(p), F.count_if(~p)
+    value = F.when(d == "reject", 1.0).otherwise(F.col("cer"))
+    pending = F.count_if(p & value.isNull())
+    cer = F.when(pending == 0, F.coalesce(F.avg(F.when(p, value)), F.lit(0.0)))
+    rr = M.rate(F.count_if(~p & (d == "reject")), n_neg, None)
+    names = ("accept", "accept_no_tse", "reject", "stream_error", "pipeline_error")
+    error = F.count_if(d.isin("stream_error", "pipeline_error"))
+    six = lambda c, name: F.round(c, 6).alias(name)
+    got = rows.groupingSets([[F.col(split)], []], F.col(split)).agg(
+        F.grouping(split).cast("boolean").alias("is_all"), n.alias("n"), n_pos.alias("n_present"), n_neg.alias("n_absent"), *[F.count_if(d == x).alias(f"n_{x}") for x in names],
+        six(M.rate(F.count_if(d == "accept"), n, None), "accept_rate"), six(M.rate(F.count_if(d == "reject"), n, None), "reject_rate"), six(M.rate(error, n, None), "error_rate"),
+        six(F.avg("score"), "mean_score"), six(M.rate(F.count_if(p & (d == "reject")), n_pos, None), "frr"), six(M.rate(F.count_if(~p & (d == "accept")), n_neg, None), "far"), six(rr, "rr"),
+        pending.alias("pending"), six(cer, "cer"), six(M.contest(F.coalesce(rr, F.lit(0.0)), cer), "contest"), six(F.avg("latency_ms"), "latency_mean"),
+    )
+    ranks = grouped_quantiles(rows.select(split, "latency_ms"), split, "latency_ms", {"latency_p50": upper_middle, "latency_p95": floor_at(0.95)})
+    ranks = ranks.select(F.col(split).alias("__gl_split"), F.col("is_all").alias("__gl_all"), "latency_p50", "latency_p95")
+    same = F.col(split).eqNullSafe(F.col("__gl_split")) & (F.col("is_all") == F.col("__gl_all"))
+    return got.join(ranks, same, "left").drop("__gl_split", "__gl_all")

@@ -18,7 +18,7 @@ from gatelight.operators import scoring as S
 from gatelight.operators import windows as W
 from gatelight.plans import views as D
 from gatelight.plans.more import REC, _known
-from gatelight.plans.queries import COHORT, HELD, P, PIVOT, QUERIES, RATES, STREAMS, T, _curve_sql, _pivot, query
+from gatelight.plans.queries import COHORT, HELD, P, PIVOT, QUERIES, RATES, STREAMS, T, _curve_sql, _pivot, over_whole_texts, query
 
 
 # ---- manifests ----
@@ -281,5 +281,4 @@ def depth_compare(spark, d):
     return A.score_matrix(D.trials(spark, d).select("present", each.alias("e")).select("present", "e.*"), ["depth"])
 
 
-for _f in (text_features, cer_by_feature, top_hurts, lang_block):
-    QUERIES[f"{_f.__name__}_whole"] = lambda spark, d, f=_f: f(spark, d, D.whole_pairs)
+over_whole_texts(text_features, cer_by_feature, top_hurts, lang_block)

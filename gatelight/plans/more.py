@@ -12,7 +12,7 @@ from gatelight.operators import overlay as V
 from gatelight.operators import relational as J
 from gatelight.operators import rules as R
 from gatelight.plans import views as D
-from gatelight.plans.queries import P, RATES, T, _curve_sql, gray_axes, in_gray, query, veto_axis
+from gatelight.plans.queries import P, RATES, T, _curve_sql, gray_axes, in_gray, over_whole_texts, query, veto_axis
 
 #: Recognition records: the text of the document with the vector's number.
 REC = "rec AS (SELECT doc_id AS vec_id, coalesce(length(text), 0)::INT AS tl, coalesce(regexp_matches(text, '[0-9]'), false) AS digits, lang AS text_lang, source FROM documents)"
@@ -97,15 +97,15 @@ def recognition_summary(spark, d):
 
 
 @query(f"{P}, u AS (SELECT conv_id, arm, min(cer) AS least, max(cer) AS most, count(*) AS n_streams, arg_min(stream, (cer, stream)) AS best FROM pairs GROUP BY ALL) SELECT arm, best, count(*) AS n, round(avg(least), 6) AS mean_least, round(avg(most), 6) AS mean_most, max(n_streams) AS most_streams FROM u GROUP BY arm, best")
-def arm_stats(spark, d):
-    u = A.per_utterance(D.pairs(spark, d), ["conv_id"], "arm", "stream", "cer")
+def arm_stats(spark, d, pairs=D.pairs):
+    u = A.per_utterance(pairs(spark, d), ["conv_id"], "arm", "stream", "cer")
     return u.groupBy("arm", "best").agg(F.count("*").alias("n"), F.round(F.avg("least"), 6).alias("mean_least"), F.round(F.avg("most"), 6).alias("mean_most"), F.max("n_streams").alias("most_streams"))
 
 
 @query(f"{P}, u AS (SELECT conv_id, bool_or(arm = 'no_sep' AND length(hyp) > 0) AS mix_speaks, bool_or(arm <> 'no_sep' AND length(hyp) > 0) AS sep_speaks FROM pairs GROUP BY conv_id) SELECT count(*) AS n, count_if(mix_speaks) AS n_mix, count_if(NOT mix_speaks AND sep_speaks) AS n_only_sep, round(count_if(NOT mix_speaks AND sep_speaks)::DOUBLE / count(*), 6) AS rate FROM u")
-def neg_utterances(spark, d):
+def neg_utterances(spark, d, pairs=D.pairs):
     speaks = F.length("hyp") > 0
-    u = D.pairs(spark, d).groupBy("conv_id").agg(F.bool_or((F.col("arm") == "no_sep") & speaks).alias("mix"), F.bool_or((F.col("arm") != "no_sep") & speaks).alias("sep"))
+    u = pairs(spark, d).groupBy("conv_id").agg(F.bool_or((F.col("arm") == "no_sep") & speaks).alias("mix"), F.bool_or((F.col("arm") != "no_sep") & speaks).alias("sep"))
     only = F.count_if(~F.col("mix") & F.col("sep"))
     return u.agg(F.count("*").alias("n"), F.count_if("mix").alias("n_mix"), only.alias("n_only_sep"), F.round(M.rate(only, F.count("*"), 0.0), 6).alias("rate"))
 
@@ -139,9 +139,9 @@ def backend_ab(spark, d):
 
 
 @query(f"{P} SELECT conv_id, arg_min(turn, (CASE arm WHEN 'no_sep' THEN 0 WHEN 'sep_once' THEN 1 END, turn)) AS turn, arg_min(cer, (CASE arm WHEN 'no_sep' THEN 0 WHEN 'sep_once' THEN 1 END, turn)) AS cer FROM pairs WHERE arm IN ('no_sep', 'sep_once') GROUP BY conv_id")
-def first_match(spark, d):
+def first_match(spark, d, pairs=D.pairs):
     rank = F.when(F.col("arm") == "no_sep", 0).when(F.col("arm") == "sep_once", 1)
-    return A.first_match(D.pairs(spark, d).select("conv_id", "arm", "turn", "cer"), ["conv_id"], rank, F.col("turn")).select("conv_id", "turn", "cer")
+    return A.first_match(pairs(spark, d).select("conv_id", "arm", "turn", "cer"), ["conv_id"], rank, F.col("turn")).select("conv_id", "turn", "cer")
 
 
 @query(f"{T}, w AS (SELECT vec_id, spk, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, spk) AS k FROM trials) SELECT vec_id, max(score) FILTER (k = 1) AS best, max(spk) FILTER (k = 1) AS best_at, max(score) FILTER (k = 2) AS second, max(spk) FILTER (k = 2) AS second_at FROM w GROUP BY vec_id")
@@ -156,8 +156,8 @@ def most_common(spark, d):
 
 
 @query(f"{P} SELECT conv_id, turn, round(length(hyp)::DOUBLE / nullif(length(ref), 0), 6) AS per_second FROM pairs")
-def chars_per_second(spark, d):
-    return D.pairs(spark, d).select("conv_id", "turn", F.round(F.try_divide(F.length("hyp").cast("double"), F.length("ref")), 6).alias("per_second"))
+def chars_per_second(spark, d, pairs=D.pairs):
+    return pairs(spark, d).select("conv_id", "turn", F.round(F.try_divide(F.length("hyp").cast("double"), F.length("ref")), 6).alias("per_second"))
 
 
 @query("SELECT lang, count(*) AS jobs, count(DISTINCT doc_id) AS utterances, count_if(NOT have) AS missing, arm FROM (SELECT doc_id, lang, arm, (doc_id + s) % 4 > 0 AS have FROM documents CROSS JOIN (VALUES ('no_sep', 0), ('sep_once', 1), ('sep_once', 2)) a(arm, s)) GROUP BY lang, arm")
@@ -284,3 +284,6 @@ def curve_every(spark, d):
 @query(f"{T}, h AS (SELECT *, count(*) OVER (PARTITION BY present) AS n, row_number() OVER (PARTITION BY present ORDER BY md5(uid || '|42'), uid) AS k FROM trials) SELECT uid, k <= least(floor(n * 0.3::DOUBLE + 0.5::DOUBLE), greatest(0, n - CASE WHEN present THEN 10 ELSE 5 END)) AS held_out FROM h")
 def holdout_floor(spark, d):
     return K.holdout(D.trials(spark, d), ["present"], 0.3, floors=(10, 5)).select("uid", "held_out")
+
+
+over_whole_texts(arm_stats, neg_utterances, first_match, chars_per_second)

@@ -579,13 +579,16 @@ def events_sessions(spark, d):
     return E.sessions(D.read(spark, d, "events"), "30 minutes")
 
 
-# ---- the pair queries over whole texts; without SQL, as DuckDB's levenshtein counts bytes ----
-def _whole(f):
-    return lambda spark, d: f(spark, d, D.whole_pairs)
+# ---- the pair queries over whole texts ----
+def over_whole_texts(*fs) -> None:
+    """Registers each query over pairs, and its SQL, over the whole texts as <name>_whole."""
+    for f in fs:
+        QUERIES[f"{f.__name__}_whole"] = lambda spark, d, f=f: f(spark, d, D.whole_pairs)
+        if f.__name__ in SQL:
+            SQL[f"{f.__name__}_whole"] = D.whole_sql(SQL[f.__name__])
 
 
-for _f in (
+over_whole_texts(
     cer_pairs, cer_histogram, cer_block, order_statistics, edit_ratio, align_pairs, ngram_topk, oracle_stream, worst_stream, utterance_pivot, paired_compare,
     neg_arm_stats, worst20, top_gains, longest, length_bins, cer_buckets,
-):
-    QUERIES[f"{_f.__name__}_whole"] = _whole(_f)
+)

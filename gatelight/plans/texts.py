@@ -13,7 +13,7 @@ from gatelight.operators import rules as R
 from gatelight.plans import views as D
 from gatelight.plans.batch import _H, _has, _lang_sql
 from gatelight.plans.more import REC, _known
-from gatelight.plans.queries import _NV, P, RATES, SQL, T, query
+from gatelight.plans.queries import _NV, P, RATES, SQL, T, over_whole_texts, query
 
 #: Normalised texts of all documents in the place of the sentences of `views.SAYINGS`.
 SAID = r"""said AS (SELECT doc_id AS k, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\xA0]', '', 'g'),
@@ -71,6 +71,16 @@ def text_tags(spark, d):
     return _tagged(D.sayings(spark))
 
 
+VOCABULARY = list(dict.fromkeys(X.DEVICES + X.ACTS + X.SLOTS))
+
+
+@query(f"WITH {SAID}, v(term) AS (VALUES {', '.join(f'({t!r})' for t in VOCABULARY)}) SELECT term, count_if(contains(t, term)) AS n FROM said CROSS JOIN v GROUP BY term")
+def vocabulary_counts(spark, d):
+    """Documents that hold each term of the vocabulary: all terms, overlapping ones too, in one pass that doesn't multiply rows."""
+    hits = [F.struct(F.lit(t).alias("term"), F.count_if(F.contains("t", F.lit(t))).alias("n")) for t in VOCABULARY]
+    return _said(spark, d).agg(F.array(*hits).alias("h")).select(F.explode("h").alias("h")).select("h.*")
+
+
 # ---- pairs ----
 _W = f"{P}, w AS (SELECT *, min(ref) OVER (PARTITION BY conv_id) AS wake, length(ref) / 12.0::DOUBLE AS sec FROM pairs)"
 _IN = "(wake <> '' AND hyp <> '' AND (contains(hyp, wake) OR contains(wake, hyp)))"
@@ -120,3 +130,6 @@ def two_way_fusion(spark, d):
     gray = R.gray_band(F.col("score"), F.col("thr"), 0.05)
     how = {"none": (False, False), "rescue": (True, False), "extra": (False, True), "both": (True, True)}
     return K.rule_list(t.join(rec, "vec_id"), {k: R.two_way(F.col("reject"), gray, F.col("digits"), F.col("tl"), *x, 500) for k, x in how.items()}, ["lang"])
+
+
+over_whole_texts(pair_rules)

@@ -76,6 +76,30 @@ texts AS (SELECT conv_id, turn, {_PLAIN.format("text")} AS ref, {_PLAIN.format("
 pairs AS (SELECT *, CASE WHEN length(ref) > 0 THEN least(1.0::DOUBLE, round(levenshtein(ref, hyp)::DOUBLE / length(ref), 6)) WHEN length(hyp) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cer,
   ['no_sep', 'sep_once', 'sep_multi'][(turn % 3 + 1)::INT] AS arm, 's' || (turn % 2) AS stream FROM texts)"""
 
+_BARE = r"""lower(regexp_replace(regexp_replace(nfc_normalize(coalesce({0}, '')), '[\s\x0B\x85\xA0]', '', 'g'),
+ '[!-/:-@\[-`{{-~，。！？、；：「」『』（）【】《》…·—–]', '', 'g'))"""
+# a pair's own alphabet in single bytes, as DuckDB's levenshtein counts bytes
+def _labelled(text: str, abc: str = "abc") -> str:
+    return f"array_to_string([chr((33 + list_position({abc}, c))::INT) FOR c IN string_split({text}, '') IF c <> ''], '')"
+
+
+#: `PAIRS` over the whole texts; the same as NFKC's where a text has no compatibility characters.
+PAIRS_WHOLE = (
+    PAIRS.replace(_PLAIN.format("text"), _BARE.format("text")).replace(_PLAIN.format("nxt"), _BARE.format("nxt"))
+    .replace("pairs AS (SELECT *,", f"alphabets AS (SELECT *, list_distinct(string_split(ref || hyp, '')) AS abc FROM texts),\nlabelled AS (SELECT * EXCLUDE (abc), {_labelled('ref')} AS rl, {_labelled('hyp')} AS hl FROM alphabets),\npairs AS (SELECT *,")
+    .replace("levenshtein(ref, hyp)", "levenshtein(rl, hl)").replace("AS stream FROM texts)", "AS stream FROM labelled)")
+)
+
+
+_BOTH = "list_distinct(string_split(wake || hyp, ''))"
+_WAKE = f"(SELECT levenshtein({_labelled('wake')}, {_labelled('hyp')}) FROM (SELECT {_BOTH} AS abc))"
+
+
+def whole_sql(sql: str) -> str:
+    """A query over pairs as one over the pairs of whole texts."""
+    return sql.replace(PAIRS, PAIRS_WHOLE).replace("levenshtein(ref, hyp)", "levenshtein(rl, hl)").replace("levenshtein(wake, hyp)", _WAKE)
+
+
 # Sentences that exercise the text classes.
 SAYINGS = [
     "打开空调", "请帮我打开客厅的灯", "把空调调到二十六度", "关于天气", "开冰箱门", "关下空调然后打开窗帘", "今天吃什么", "我回来了", "有点冷", "语音功能已关闭", "播放下一首歌", "影院模式",

@@ -50,7 +50,7 @@ def stream_files(files: DataFrame, include_mix: bool = False) -> DataFrame:
     """(arm, split, uid, stream, path) of files d1/<split>/<uid>/<stream>.wav and d2/...: of d1 the tracks d1_*, of d2 all but `peak`;
     a mix of d1 is the stream of the arm without separation, and of the others only if wanted."""
     found = files.where(F.col("path").rlike(r"/d[12]/[^/]+/[^/]+/[^/]+\.wav$"))
-    part = lambda i: F.substring_index(F.substring_index("path", "/", i - 5), "/", -1)  # noqa: E731  of the last four
+    part = lambda i: F.substring_index(F.substring_index("path", "/", i - 5), "/", 1)  # noqa: E731  of the last four
     got = found.select("path", F.substr(part(1), F.lit(2)).alias("depth"), part(2).alias("split"), part(3).alias("uid"), F.regexp_replace(part(4), r"\.wav$", "").alias("stream")).where("stream <> 'peak'")
     mix, once = F.col("stream") == "mix", F.col("depth") == "1"
     arms = F.array_compact(F.array(

@@ -32,6 +32,19 @@ def query(sql: str | None = None):
     return add
 
 
+#: Queries over fixed sentences, with their SQL: for tests, not registered.
+FIXTURES: dict = {}
+FIXTURE_SQL: dict = {}
+
+
+def fixture(sql: str):
+    def add(f):
+        FIXTURES[f.__name__], FIXTURE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 T, P, Z = f"WITH {D.TRIALS}", f"WITH {D.PAIRS}", f"WITH {D.SAYINGS_SQL}"
 
 
@@ -372,7 +385,7 @@ def _alt(words):
     return "|".join(words)
 
 
-@query(f"""{Z} SELECT k, CASE WHEN regexp_matches(t, '{_alt(X.GENRES['device_tts'])}') THEN 'device_tts' WHEN regexp_matches(t, '{_alt(X.GENRES['food_qa'])}') THEN 'food_qa' WHEN regexp_matches(t, '{_alt(X.GENRES['media'])}') THEN 'media'
+@fixture(f"""{Z} SELECT k, CASE WHEN regexp_matches(t, '{_alt(X.GENRES['device_tts'])}') THEN 'device_tts' WHEN regexp_matches(t, '{_alt(X.GENRES['food_qa'])}') THEN 'food_qa' WHEN regexp_matches(t, '{_alt(X.GENRES['media'])}') THEN 'media'
  WHEN regexp_matches(t, '{_alt(X.GENRES['hvac'])}') THEN 'hvac' WHEN regexp_matches(t, '{_alt(X.GENRES['imperative'])}') THEN 'imperative' WHEN length(t) >= 16 THEN 'long_other' ELSE 'short_other' END AS genre FROM said""")
 def genre(spark, d):
     return D.sayings(spark).select("k", X.genre(F.col("t")).alias("genre"))
@@ -382,12 +395,12 @@ _V = _alt(sorted(X.ACT_VERBS, key=lambda v: (-len(v), v)))
 _NV = f"(len(string_split_regex(t, '{_V}')) - 1 + CASE WHEN regexp_matches(t, '^[开关放换]') AND NOT regexp_matches(t, '^({_V})') AND length(t) >= 3 AND NOT starts_with(t, '关于') THEN 1 ELSE 0 END)"
 
 
-@query(f"{Z} SELECT k, {_NV}::INT AS n_verb FROM said")
+@fixture(f"{Z} SELECT k, {_NV}::INT AS n_verb FROM said")
 def verb_count(spark, d):
     return D.sayings(spark).select("k", X.verb_count(F.col("t")).alias("n_verb"))
 
 
-@query(f"""{Z}, f AS (SELECT k, t, length(t) AS n, {_NV} AS v, regexp_matches(t, '{_alt(X.STATE_MARKS)}') OR (regexp_matches(t, '{X.DIGITS}') AND regexp_matches(t, '{_alt([*X.V1_UNITS, '色温'])}')) AS st, regexp_matches(t, '模式|场景') AS mo,
+@fixture(f"""{Z}, f AS (SELECT k, t, length(t) AS n, {_NV} AS v, regexp_matches(t, '{_alt(X.STATE_MARKS)}') OR (regexp_matches(t, '{X.DIGITS}') AND regexp_matches(t, '{_alt([*X.V1_UNITS, '色温'])}')) AS st, regexp_matches(t, '模式|场景') AS mo,
  regexp_matches(t, '{_alt(X.V2_QUESTIONS)}') AS q, regexp_matches(t, '{X.LIFE}') AS li, regexp_matches(t, '{_alt(X.BROADCASTS)}') AS tts, regexp_matches(t, '{_alt(X.DISCOURSE)}') AS di, regexp_matches(t, '{_alt(X.LINKS)}') AS ln FROM said)
  SELECT k, CASE WHEN tts THEN '设备播报' WHEN q THEN '信息询问' WHEN v >= 2 OR (ln AND v + st::INT + mo::INT >= 2) THEN '复合命令' WHEN st THEN '状态调节' WHEN v >= 1 THEN '动作命令' WHEN mo THEN '模式/场景' WHEN li THEN '生活陈述/社交'
  WHEN di OR n >= 16 OR n <= 3 THEN '闲聊/背景' WHEN n <= 10 THEN '省略指令' ELSE '其他' END AS "primary", n::INT AS len FROM f""")
@@ -396,7 +409,7 @@ def text_class(spark, d):
     return c.select("k", "c.primary", "c.len")
 
 
-@query(f"""{Z}, f AS (SELECT k, t, length(t) - length(regexp_replace(t, '{X.CJK}', '', 'g')) AS c, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS l, length(t) AS n FROM said)
+@fixture(f"""{Z}, f AS (SELECT k, t, length(t) - length(regexp_replace(t, '{X.CJK}', '', 'g')) AS c, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS l, length(t) AS n FROM said)
  SELECT k, CASE WHEN n = 0 THEN 'empty' WHEN c = 0 AND l = 0 THEN 'other' WHEN c > 0 AND l > 0 THEN 'mix' WHEN c > 0 THEN 'zh' ELSE 'en' END AS text_lang, CASE WHEN c > 0 THEN 'zh' ELSE 'en' END AS manifest_lang,
  CASE WHEN c > 0 THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'zh' END AS threshold_lang, CASE WHEN n = 0 THEN NULL WHEN c >= greatest(1, n // 2) THEN 'Chinese' WHEN regexp_full_match(t, '[a-z0-9]+') THEN 'English' END AS recognizer_lang FROM f""")
 def text_languages(spark, d):

@@ -13,12 +13,12 @@ from gatelight.operators import rules as R
 from gatelight.plans import views as D
 from gatelight.plans.batch import _H, _has, _lang_sql
 from gatelight.plans.more import REC, _known
-from gatelight.plans.queries import _NV, P, RATES, SQL, T, over_whole_texts, query
+from gatelight.plans.queries import _NV, FIXTURE_SQL, P, RATES, T, fixture, over_whole_texts, query
 
 #: Normalised texts of all documents in the place of the sentences of `views.SAYINGS`.
 SAID = r"""said AS (SELECT doc_id AS k, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\xA0]', '', 'g'),
  '[-，。！？、；："''「」『』（）【】《》…·—–.,!?;:`]', '', 'g')) AS t FROM documents)"""
-_over_documents = lambda name: SQL[name].replace(D.SAYINGS_SQL, SAID)
+_over_documents = lambda name: FIXTURE_SQL[name].replace(D.SAYINGS_SQL, SAID)
 
 
 def _said(spark, d):
@@ -31,6 +31,33 @@ def document_classes(spark, d):
     return _said(spark, d).select("k", X.classify(F.col("t")).alias("c")).select("k", "c.primary", "c.len")
 
 
+_FRAME = "(v >= 1 OR st OR mo)"
+_ELLIPTIC = f"\"primary\" = '省略指令'"
+_CLASS_TAGS = [
+    ("设备播报", "tts"), ("信息询问", f"q OR (ends_with(t, '吗') AND NOT {_FRAME})"), ("复合命令", "v >= 2 OR (ln AND v + st::INT + mo::INT >= 2)"), ("状态调节", "st"), ("动作命令", "v >= 1"),
+    ("模式/场景", "mo"), ("生活陈述/社交", "li"), ("带语气词", "pa"), ("带话语标记", "di"), ("省略指令", _ELLIPTIC),
+]
+
+
+def _frames_sql() -> str:
+    """`document_classes` with all that a class is made from."""
+    base = _over_documents("text_class")
+    at = base.index(" SELECT k, CASE WHEN tts")
+    flags = base[:at].replace(" AS ln FROM said)", f" AS ln, {_has('t', X.PARTICLES)} AS pa FROM said)")
+    named = base[at:].replace(" SELECT k, CASE", ", c AS (SELECT *, CASE").replace(", n::INT AS len FROM f", " FROM f)")
+    tags = ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in _CLASS_TAGS)
+    return f"""{flags}{named}
+SELECT k, "primary", n::INT AS len, v::INT AS n_verb, array_to_string([x FOR x IN [{tags}] IF x IS NOT NULL], '+') AS tags, pa AS has_particle, {_FRAME} AS command_frame,
+  "primary" IN ({', '.join(f'{c!r}' for c in X.TASK_CLASSES)}) AS task_oriented FROM c"""
+
+
+@query(_frames_sql())
+def document_frames(spark, d):
+    """Class, tags, verbs, particles, command frame and task of every document."""
+    c = _said(spark, d).select("k", X.classify(F.col("t")).alias("c")).select("k", "c.*")
+    return c.withColumn("tags", F.array_join("tags", "+"))
+
+
 @query(_over_documents("genre"))
 def document_genres(spark, d):
     return _said(spark, d).select("k", X.genre(F.col("t")).alias("genre"))
@@ -66,7 +93,7 @@ def document_tags(spark, d):
     return _tagged(_said(spark, d))
 
 
-@query(_tag_sql(D.SAYINGS_SQL))
+@fixture(_tag_sql(D.SAYINGS_SQL))
 def text_tags(spark, d):
     return _tagged(D.sayings(spark))
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from gatelight.operators import calibrate as K
 from gatelight.operators import manifest as N
 from gatelight.plans import batch  # noqa: F401
 from gatelight.plans import views as D
-from gatelight.plans.queries import QUERIES
+from gatelight.plans import texts  # noqa: F401
+from gatelight.plans.queries import FIXTURE_SQL, FIXTURES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -80,3 +82,11 @@ def _tokens(s):
         out.append(s[i : i + n])
         i += n
     return out
+
+
+@pytest.mark.parametrize("name", ["genre", "verb_count", "text_class", "text_languages", "text_tags"])
+def test_text_rules_on_fixed_sentences(spark, name):
+    """The rules that tables of other languages hardly touch, against SQL."""
+    got = FIXTURES[name](spark, DATA)
+    rows = duckdb.connect().execute(f"SELECT {', '.join(map('"{}"'.format, got.columns))} FROM ({FIXTURE_SQL[name]})").fetchall()
+    assert len(rows) == 24 and sorted(map(tuple, got.collect())) == sorted(rows)

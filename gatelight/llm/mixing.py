@@ -16,6 +16,8 @@ from gatelight.llm import common as C
 
 #: Groups in the seeded order of a source's documents; a source of any size is as many rows.
 CELLS = 4096
+#: Tasks that a source's documents are dealt to where they meet what was found for the source.
+SALTS = 64
 SEED = 12
 
 
@@ -98,11 +100,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     edges = reached.groupBy("source").agg(edge).select(F.col("source").alias("e_source"), "edge")
     plan = levels.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left")
     plan = plan.select(F.col("source").alias("__gl_source"), "source_size", "target", F.col("whole").cast("long").alias("whole"), F.col("edge").alias("__gl_edge"))
-    out = base.withColumn("__gl_cell", cell_of(f"`{id_col}`", seed)).join(plan, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__gl_source")))
+    plan = plan.withColumn("__gl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__gl_source")) & (F.col("__gl_cell") % SALTS == F.col("__gl_salt"))
+    out = base.withColumn("__gl_cell", cell_of(f"`{id_col}`", seed)).join(plan, same)
     edge, cell = F.col("__gl_edge"), F.col("__gl_cell")
     part = F.floor(F.col("size").cast("decimal(19,0)") * edge["need"].cast("decimal(19,0)") / edge["cell_size"].cast("decimal(19,0)"))
     once_more = F.when(edge.isNull() | (cell > edge["cell"]), F.lit(0)).when(cell < edge["cell"], F.col("size")).otherwise(part.cast("long"))
-    return out.withColumn("taken", (F.col("whole") * F.col("size") + once_more).cast("long")).drop("__gl_cell", "__gl_source", "__gl_edge")
+    return out.withColumn("taken", (F.col("whole") * F.col("size") + once_more).cast("long")).drop("__gl_cell", "__gl_salt", "__gl_source", "__gl_edge")
 
 
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

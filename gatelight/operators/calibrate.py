@@ -14,21 +14,28 @@ from gatelight.functions import metrics as M
 from gatelight.operators.ranks import ranked
 
 
-def candidates(trials: DataFrame, keys: list[str], grid: tuple[float, float, float] = (-0.5, 1.5, 0.01)) -> DataFrame:
-    """The scores and a fixed grid as thresholds, for each group."""
+def candidates(trials: DataFrame, keys: list[str], grid: tuple[float, float, float] = (-0.5, 1.5, 0.01), ranged: bool = False) -> DataFrame:
+    """The scores and a fixed grid as thresholds, for each group; ranged adds 200 even steps over the group's
+    scores, of 0.0001 at least. Among equally good thresholds the highest is chosen, so more of them matter."""
     lo, hi, step = grid
     n = round((hi - lo) / step)
     steps = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.round(F.lit(lo) + i * step, 6))
     groups = trials.select(*keys).distinct() if keys else trials.sparkSession.range(1).select()
     fixed = groups.select(*keys, F.explode(steps).alias("thr"))
-    return trials.select(*keys, F.col("score").alias("thr")).union(fixed).distinct()
+    found = trials.select(*keys, F.col("score").alias("thr")).union(fixed)
+    if ranged:
+        ends = trials.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi")).where("lo IS NOT NULL")
+        step = F.greatest((F.col("hi") - F.col("lo")) / 200, F.lit(1e-4))
+        n = F.floor((F.col("hi") - F.col("lo") + 1e-12) / step)
+        found = found.union(ends.select(*keys, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.round(F.col("lo") + i * step, 6)))))
+    return found.distinct()
 
 
-def curve(trials: DataFrame, keys: list[str] | None = None, grid=(-0.5, 1.5, 0.01)) -> DataFrame:
+def curve(trials: DataFrame, keys: list[str] | None = None, grid=(-0.5, 1.5, 0.01), ranged: bool = False) -> DataFrame:
     """(*keys, thr, frr, far, rr, contest): trials has score (6 digits) and present; score >= thr accepts."""
     keys = keys or []
     counts = trials.groupBy(*keys, "score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("q"))
-    thr = candidates(trials, keys, grid)
+    thr = candidates(trials, keys, grid, ranged)
     marks = counts.select(*keys, F.col("score").alias("x"), "p", "q", F.lit(None).cast("double").alias("thr"))
     marks = marks.union(thr.select(*keys, F.col("thr").alias("x"), F.lit(0).cast("long"), F.lit(0).cast("long"), "thr"))
     below = Window.partitionBy(*keys).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)

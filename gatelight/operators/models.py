@@ -206,8 +206,8 @@ def shortened(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, tries: int =
     raise AssertionError
 
 
-def isolate(df: DataFrame, factory: Callable[[], Isolator], mix: str, enrol: str, out: str = "extracted") -> DataFrame:
-    """`df` with `out`, the extracted waveform, and isolate_error, null where it worked; one model for each task."""
+def isolate(df: DataFrame, factory: Callable[[], Isolator], mix: str, enrol: str, out: str = "isolated") -> DataFrame:
+    """`df` with `out`, the isolated waveform, and isolate_error, null where it worked; one model for each task."""
     extra = f"{out} array<float>, isolate_error string"
 
     def run(batches):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatelight.operators import calibrate as K
 from gatelight.operators import cube as B
 from gatelight.operators import fusion as U
 from gatelight.operators import rules as R
@@ -88,6 +89,20 @@ def test_cube_of_no_rows(spark):
     assert [tuple(r) for r in got] == [(1.0, 1.0, 0.0, 1.0)]
 
 
+def test_thresholds_over_the_range_of_scores(spark):
+    rows = [("a", 0.1 + 0.003 * i, i % 3 > 0) for i in range(50)] + [("b", 7.0, True)] * 3 + [("c", 2.0, True), ("c", 2.004, False)]
+    df = spark.createDataFrame(rows, "k string, score double, present boolean")
+    got = {}
+    for r in K.candidates(df, ["k"], ranged=True).collect():
+        got.setdefault(r.k, set()).add(round(r.thr, 6))
+    for k in "abc":
+        s = [x for name, x, _ in rows if name == k]
+        lo, hi = min(s), max(s)
+        step = max((hi - lo) / 200, 1e-4)
+        even = {round(lo + i * step, 6) for i in range(int((hi - lo + 1e-12) / step) + 1)}
+        assert got[k] == {round(x, 6) for x in s} | even | {round(-0.5 + 0.01 * i, 6) for i in range(201)}
+
+
 # ---- fusion ----
 def drawn(s, most):
     s = np.asarray(s)

@@ -192,7 +192,7 @@ def test_encoders_and_isolators(spark):
         models.shortened(tight, np.zeros(10**6))
     df = spark.createDataFrame([("u", signal.two_tones(0.1).tolist(), [0.1] * 100)], "uid string, mix array<float>, enrol array<float>")
     row = models.isolate(df, models.MixIsolator, "mix", "enrol").first()
-    assert row.isolate_error is None and abs(max(map(abs, row.extracted)) - 0.95) < 1e-5
+    assert row.isolate_error is None and abs(max(map(abs, row.isolated)) - 0.95) < 1e-5
 
     class Split:
         def separate(self, w):

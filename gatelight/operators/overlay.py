@@ -52,3 +52,16 @@ def lift_counts(before: Column, after: Column, present: Column) -> list[Column]:
         F.count_if(extra).alias("n_extra_reject"), F.count_if(extra & present).alias("n_extra_pos"), F.count_if(extra & ~present).alias("n_extra_neg"),
         F.count_if(flip).alias("n_flip"), F.count_if(flip & present).alias("n_need_recognition"), F.count_if(~after & ~present).alias("n_accepted_neg"),
     ]
+
+
+def with_predictions(backup: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, content, label, cer) of each entry of a backup result (id, label), as the decisions of `rows` have it.
+
+    `rows` are positives with id, reject, content and cer, of one id the one of the least content. Rejected ones are
+    empty with a CER of 1, as are entries without a row, and so counts a CER that isn't known.
+    """
+    one = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("content", "reject", "cer")).alias("__gl_r"))
+    kept = ~F.coalesce(F.col("__gl_r.reject"), F.lit(True))
+    return backup.join(one, "id", "left").select(
+        "id", F.when(kept, F.coalesce("__gl_r.content", F.lit(""))).otherwise("").alias("content"), "label", F.when(kept, F.coalesce("__gl_r.cer", F.lit(1.0))).otherwise(1.0).alias("cer"),
+    )

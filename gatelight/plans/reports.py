@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gatelight.functions import tables as TF
 from gatelight.operators import analysis as A
+from gatelight.operators import overlay as V
 from gatelight.operators import rules as R
 from gatelight.plans import views as D
 from gatelight.plans.more import REC, _rec
-from gatelight.plans.queries import T, query
+from gatelight.plans.queries import SQL, T, query
 
 _PLACE = "(list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)))[{} + 1]"
 _N = "count(latency_ms)"
@@ -38,3 +40,27 @@ def run_report(spark, d):
     rows = D.trials(spark, d).join(_rec(spark, d), "vec_id", "left")
     status = F.when(F.col("source").isNull(), "none").when(F.col("digits"), "ok").otherwise("failed")
     return A.run_report(rows.select("split", "present", "score", "cer", (F.col("tl") / 10.0).alias("latency_ms"), R.decision(F.col("score"), F.col("thr"), status).alias("decision")))
+
+
+# ---- results ----
+@query(f"""{T}, p AS (SELECT vec_id AS id, reject, 'heard ' || spk AS content, cer FROM trials WHERE present),
+one AS (SELECT id, min(struct_pack(content := content, reject := reject, cer := cer)) AS r FROM p GROUP BY id)
+SELECT doc_id AS id, CASE WHEN NOT r.reject THEN coalesce(r.content, '') ELSE '' END AS content, quality AS label, CASE WHEN NOT r.reject THEN coalesce(r.cer, 1) ELSE 1.0 END AS cer
+FROM labels LEFT JOIN one ON id = doc_id""")
+def predicted_results(spark, d):
+    """Entries of a backup (here the labels) with what the decisions of the positives say."""
+    rows = D.trials(spark, d).where("present").select(F.col("vec_id").alias("id"), "reject", F.concat(F.lit("heard "), F.col("spk").cast("string")).alias("content"), "cer")
+    return V.with_predictions(D.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), rows)
+
+
+# ---- table functions ----
+@query(SQL["slide_windows"])
+def lateral_windows(spark, d):
+    """`slide_windows` by a table function in a LATERAL join."""
+    return TF.windows_of(D.read(spark, d, "documents"), F.length("text"), ["doc_id"], 800, 400, 350)
+
+
+@query(SQL["energy_islands"])
+def partitioned_islands(spark, d):
+    """`energy_islands` by a table function over a partitioned table."""
+    return TF.islands_of(D.read(spark, d, "events").where("value > 50"), "user_id", "event_id", 200)

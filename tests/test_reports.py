@@ -2,7 +2,7 @@
 
 import random
 
-from gatelight.operators import analysis
+from gatelight.operators import analysis, overlay
 
 SCHEMA = "split string, present boolean, score double, cer double, latency_ms double, decision string"
 NAMES = ["accept", "accept_no_tse", "reject", "stream_error", "pipeline_error"]
@@ -44,3 +44,10 @@ def test_run_report(spark):
 
 def test_report_of_no_rows(spark):
     assert analysis.run_report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_results_by_predictions(spark):
+    backup = spark.createDataFrame([(1, "present"), (2, "present"), (3, None), (4, "absent"), (4, "absent")], "id long, label string")
+    rows = [(1, False, "hi", 0.25), (2, True, "no", 0.0), (3, False, None, None), (4, False, "b", 0.5), (4, True, "a", 0.1), (None, False, "x", 0.0), (9, False, "y", 0.0)]
+    got = overlay.with_predictions(backup, spark.createDataFrame(rows, "id long, reject boolean, content string, cer double")).collect()
+    assert sorted((r.id, r.content, r.label or "", r.cer) for r in got) == [(1, "hi", "present", 0.25), (2, "", "present", 1.0), (3, "", "", 1.0), (4, "", "absent", 1.0), (4, "", "absent", 1.0)]

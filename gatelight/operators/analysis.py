@@ -149,3 +149,24 @@ def run_report(rows: DataFrame, split: str = "split") -> DataFrame:
     ranks = ranks.select(F.col(split).alias("__gl_split"), F.col("is_all").alias("__gl_all"), "latency_p50", "latency_p95")
     same = F.col(split).eqNullSafe(F.col("__gl_split")) & (F.col("is_all") == F.col("__gl_all"))
     return got.join(ranks, same, "left").drop("__gl_split", "__gl_all")
+
+
+def region_report(rows: DataFrame, lengths: tuple[int, ...] = (12, 14, 16, 18)) -> DataFrame:
+    """By region of rows with present, reject, tl, primary and task: length moments and places, shares of long texts and of classes."""
+    rows = rows.withColumn("region", region(F.col("present"), F.col("reject")))
+    share = lambda cond, name: F.round(M.rate(F.count_if(cond), F.count("*"), 0.0), 6).alias(name)
+    kind = F.col("primary")
+    got = rows.groupBy("region").agg(
+        F.count("*").alias("n"), F.round(F.avg("tl"), 6).alias("len_mean"), share(F.col("task"), "task_rate"), *[share(F.col("tl") >= n, f"len_ge{n}") for n in lengths],
+        share(kind.isin("闲聊/背景", "其他", "设备播报", "空转写"), "chat_or_other"), share(kind == "设备播报", "tts"),
+    )
+    return got.join(order_statistics(rows, ["region"], "tl", {"len_p50": upper_middle, "len_p90": nearest_at(0.9)}), "region", "left")
+
+
+def length_precision(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(len, n_fa_hit, n_tp_hit, prec_as_neg, fa_recall): how well a length tells absent from present among accepted rows."""
+    ok, p = ~F.col("reject"), F.col("present")
+    hits = [F.struct(F.lit(n).alias("len"), F.count_if(ok & ~p & (F.col("tl") >= n)).alias("n_fa_hit"), F.count_if(ok & p & (F.col("tl") >= n)).alias("n_tp_hit")) for n in lengths]
+    got = rows.agg(F.count_if(ok & ~p).alias("n_fa"), F.array(*hits).alias("h")).select("n_fa", F.explode("h").alias("h")).select("n_fa", "h.*")
+    a, b = F.col("n_fa_hit"), F.col("n_tp_hit")
+    return got.select("len", a, b, F.round(M.rate(a, a + b, None), 6).alias("prec_as_neg"), F.round(M.rate(a, F.col("n_fa"), None), 6).alias("fa_recall"))

@@ -33,6 +33,22 @@ def upper_middle(n: Column) -> Column:
     return F.floor(n / 2)
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, float]) -> DataFrame:
+    """(*keys, *picks): for each group the values at shares of the sorted order, between two places in proportion.
+
+    Values are counted first, as in `order_statistics`; nulls are left out, and a group without values has no row.
+    """
+    below = {f"__gl_lo_{n}": floor_at(p) for n, p in picks.items()}
+    above = {f"__gl_hi_{n}": (lambda n_, p=p: F.ceil(F.lit(p) * (n_ - 1))) for n, p in picks.items()}
+    got = order_statistics(df, keys, value, {**below, **above})
+    size = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"__gl_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__gl_size"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__gl_k{i}"))
+    lerp = lambda n, p: F.col(f"__gl_lo_{n}") + (F.col(f"__gl_hi_{n}") - F.col(f"__gl_lo_{n}")) * (F.lit(p) * (F.col("__gl_size") - 1) - F.floor(F.lit(p) * (F.col("__gl_size") - 1)))
+    return got.join(size, on).select(*keys, *[lerp(n, p).alias(n) for n, p in picks.items()])
+
+
 def hashed(uid: Column, seed: int) -> Column:
     return F.md5(F.concat(uid.cast("string"), F.lit(f"|{seed}")))
 

@@ -72,7 +72,7 @@ class BallTree:
         best, best_ids = np.full((n, lanes, k), NONE), np.zeros((n, lanes, k), np.int64)
         if not len(self.x) or not n:
             return best, best_ids
-        exact = float(np.abs(self.x).max()) * float(np.abs(q).max()) * q.shape[1] < 2**52
+        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * q.shape[1] < 2**52
         mid, reach = q @ self.centres.T, np.linalg.norm(q, axis=1)[:, None] * self.radii[None, :]
         slack = 1e-9 * (np.abs(mid) + reach) + 1e-6
         upper, lower = mid + reach + slack, mid - reach - slack

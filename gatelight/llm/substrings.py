@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,13 @@ def census(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[BINS]), out[:BINS]
 
 
+def in_order(t: pa.Table) -> pa.Table:
+    """A block's rows by id and text. Places in a block are sent from one task to the next, which reads the
+    block anew: rows come as the shuffle fetches them, in another order each time where there are several executors.
+    """
+    return t.take(pc.sort_indices(t, sort_keys=[("__gl_id", "ascending"), ("__gl_text", "ascending")]))
+
+
 class Block:
     """A block's documents: words, windows, and the stretches of windows of one anchor.
 
@@ -355,7 +363,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The block's suffixes that may share a deep node, equal ones as one."""
         if not t.num_rows or not back.num_rows:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "block", "blob"])
-        b = Block(t, k)
+        b = Block(in_order(t), k)
         a, hot = _unpack(back, [np.uint64, np.uint8])[1]
         order = np.argsort(a, kind="stable")
         a, hot = a[order], hot[order]
@@ -388,6 +396,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts, kept, runs = [], [], []
         words, removed = np.zeros(m, np.int64), np.zeros(m, np.int64)
         if m:
+            t = in_order(t)
             b = Block(t, k)
             texts, words = b.texts, b.counts
             gone = np.zeros(len(b.h) + 1, np.int64)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gatelight.llm import substrings
@@ -58,6 +59,29 @@ def test_against_brute_force(spark, monkeypatch, k, hot, blocks):
         assert {q for s in r.removed for q in range(s.start, s.end)} == gone and all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
 
 
+@pytest.mark.parametrize(("hot", "blocks"), [(50_000, 6 << 20), (0, 500)])
+def test_blocks_come_in_any_order(spark, monkeypatch, hot, blocks):
+    """Each read of a block may give its rows in another order, as fetches from several executors do."""
+
+    def mixed(t):
+        return t.take(pa.array(np.random.default_rng().permutation(t.num_rows)))
+
+    def one(f):
+        return lambda t: f(mixed(t))
+
+    def two(f):
+        return lambda t, back: f(mixed(t), mixed(back))
+
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", blocks)
+    monkeypatch.setattr(substrings.C, "grouped", one)
+    monkeypatch.setattr(substrings.C, "cogrouped", two)
+    rows = rows_of(3)
+    docs = spark.createDataFrame([(i, t, str(n), "x", [n]) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+    got = {r.other[0]: r for r in substrings.mark_repeats(docs, hot_prefix=hot).collect()}
+    for n, ((i, t), (n_words, gone, kept)) in enumerate(zip(rows, brute(rows, 13), strict=True)):
+        assert (got[n].doc_id, got[n].text, got[n].n_words, got[n].n_removed, got[n].kept) == (i, t, n_words, len(gone), kept)
+
+
 def test_internal_nodes():
     """Suffixes part at the depth of their common prefix; windows before the anchor tell classes apart."""
     words = np.array([ord(c) for c in "xabcdyabcdxabce"], np.uint64)

@@ -241,3 +241,15 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     as_text = lambda df: sorted(map(str, df.withColumn("win_start", F.col("win_start").cast("string")).collect()))
     assert as_text(spark.table("tumbling")) == as_text(events.windowed(spark.read.parquet(src), "1 hour"))
+
+
+def test_marks_keep_what_patterns_fit(spark):
+    """Classes, tags and genres are the same by the marks of a text and its length as by the text."""
+    rng = random.Random(7)
+    words = [*X.ACT_VERBS, *X.STATE_MARKS, *X.V1_UNITS, *X.V1_QUESTIONS, *X.BROADCASTS, *X.DISCOURSE, *X.PARTICLES, *X.LINKS, *sum(X.GENRES.values(), []), "我要", "回家了", "有点热", "吃完了", "开", "关于", "灯", "天气", "a", "é", " ", "7", "٣", "𝟘", "😀", "模式", "色温"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(600)] + ["打x开", "打 开", "关于打开", "x吗", "吗x", "开x窗", "x" * 40]
+    t, m, n = F.col("t"), F.col("m"), F.length("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("m", X.marks(t))
+    for f in (X.classify, X.v1_tags, X.genre, X.verb_count):
+        assert not df.where(~f(t).eqNullSafe(f(m, n))).count(), f.__name__
+    assert df.where("t = 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx'").first()["m"] == " "

@@ -181,3 +181,12 @@ def test_fusion_at_full_size(spark):
         r = got[mode]
         accept = (s1 >= r.thr) | (s2 >= r.second) if mode == "or" else (s1 >= r.thr) & (s2 >= r.second)
         assert rates(~accept, present) == (r.rr, r.frr, r.contest)
+
+
+def test_quantiles_are_one_pass(spark):
+    """No frame that shrinks row by row: Spark reads such a one anew for each row."""
+    rows = spark.createDataFrame([("k", i / 997) for i in range(900)] + [("m", 0.5)], "key string, score double")
+    got = U.drawn(rows, ["key"], F.array(F.lit(40)))
+    assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    thr = {r.thr for r in got.where("key = 'k'").collect()}
+    assert {round(float(x), 6) for x in np.quantile([round(i / 997, 6) for i in range(900)], np.linspace(0, 1, 20))} <= thr

@@ -1,8 +1,11 @@
 """Manifests, joins of samples and results, packing, rule lists: small cases and brute force."""
 
+import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +93,34 @@ def test_text_rules_on_fixed_sentences(spark, name):
     got = FIXTURES[name](spark, DATA)
     rows = duckdb.connect().execute(f"SELECT {', '.join(map('"{}"'.format, got.columns))} FROM ({FIXTURE_SQL[name]})").fetchall()
     assert len(rows) == 24 and sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_alignment_of_long_texts_is_bounded(spark, monkeypatch):
+    """Time and memory of bits, not of cells; a trace in small blocks is the same."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcde_é") for _ in range(n)) for n in (6000, 5900, 300, 190, 1, 0)]
+    tracemalloc.start()
+    s, d, i, n, left, right = X._align(texts[0], texts[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and n == 6000 and d - i == 100 and len(_tokens(left)) == len(_tokens(right)) == n + i
+    want = {(a, b): X._align(a, b) for a in texts[2:] for b in texts[2:]}
+    monkeypatch.setattr(X, "TRACE_BYTES", 1)
+    for (a, b), whole in want.items():
+        assert X._align(a, b) == whole
+        x = spark.sql("SELECT levenshtein(:a, :b) d", {"a": a, "b": b}).first().d
+        assert whole[0] + whole[1] + whole[2] == x
+
+
+def test_replaced_brackets_count(spark):
+    rows = spark.createDataFrame([("〔a", "〕b"), ("aa", "bb"), (None, "x"), ("", "")], "ref string, hyp string")
+    got = [{(x.ref, x.hyp): x.n for x in r.p} for r in rows.select(X.replaced("ref", "hyp").alias("p")).collect()]
+    assert got == [{("〔", "〕"): 1, ("a", "b"): 1}, {("a", "b"): 2}, {}, {}]
+
+
+def test_texts_reach_python_in_bounded_pieces():
+    texts = ["x" * 400_000, None, "", "y" * 700_000, "z" * 3_000_000, "é"]
+    got = list(X.pieces(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [x for part in got for x in part] == texts and max(len("".join(t or "" for t in part)) for part in got) <= 3_000_000 + X.PIECE_BYTES and len(got) > 2
+    pairs = list(X.pieces(iter([(pa.array(texts), pa.array(texts[::-1]))])))
+    assert [x for part in pairs for x in part] == list(zip(texts, texts[::-1]))

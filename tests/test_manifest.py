@@ -1,7 +1,9 @@
 """Manifests, joins of samples and results, packing, rule lists: small cases and brute force."""
 
 import random
+import re
 import tracemalloc
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -124,3 +126,28 @@ def test_texts_reach_python_in_bounded_pieces():
     assert [x for part in got for x in part] == texts and max(len("".join(t or "" for t in part)) for part in got) <= 3_000_000 + X.PIECE_BYTES and len(got) > 2
     pairs = list(X.pieces(iter([(pa.array(texts), pa.array(texts[::-1]))])))
     assert [x for part in pairs for x in part] == list(zip(texts, texts[::-1]))
+
+
+def test_settled_texts_stay_in_the_jvm(spark, tmp_path):
+    """NFKC changes no text of SETTLED; other texts are changed as before, and only they reach Python."""
+    settled = [c for c in map(chr, range(0x110000)) if re.match(f"[{X.SETTLED}]", c)]
+    canonical = [d.split() for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and not d.startswith("<")]
+    parts = {d[1] for d in canonical if len(d) > 1}  # what may join with a character before it
+    assert len(settled) > 20_000 and not any(unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c or f"{ord(c):04X}" in parts for c in settled if c > "\x7f")
+    said = ["Élan, vital", "打开 空调。", "e\u0301a", "Ａｂ，c", "ﬁn…", "plain", "", None, "한글 \u1112\u1161"]
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(s):
+        calls.add(len(s))
+        return s.map(lambda x: unicodedata.normalize("NFKC", x))
+
+    old, X.nfkc = X.nfkc, counted
+    try:
+        rows.write.parquet(f"{tmp_path}/documents.parquet")
+        got = {r.doc_id: r.t for r in QUERIES["normalize_text"](spark, str(tmp_path)).collect()}
+    finally:
+        X.nfkc = old
+    clean = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if not c.isspace() and c not in X.CER_PUNCT).lower()
+    assert got == {i: clean(t) for i, t in enumerate(said)} and calls.value == 4

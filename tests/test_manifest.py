@@ -151,3 +151,14 @@ def test_settled_texts_stay_in_the_jvm(spark, tmp_path):
         X.nfkc = old
     clean = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if not c.isspace() and c not in X.CER_PUNCT).lower()
     assert got == {i: clean(t) for i, t in enumerate(said)} and calls.value == 4
+
+
+def test_pairs_measure_a_distance_once(spark):
+    """By bits, in one place of the plan: the cells of long texts aren't visited, let alone twice."""
+    for pairs in ("cer_pairs", "cer_pairs_whole", "cer_block_whole"):
+        plan = QUERIES[pairs](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "levenshtein" not in plan and "edit_distance" in plan
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab空😀") for _ in range(rng.randrange(150))) for _ in range(60)] + ["", None]
+    rows = spark.createDataFrame([(rng.choice(texts), rng.choice(texts)) for _ in range(400)], "a string, b string")
+    assert rows.where(~X.edit_distance("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0

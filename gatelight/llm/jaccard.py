@@ -9,7 +9,10 @@ tiles, where an index of rare-first prefixes with blocks by position is skipped
 the sizes of a set's intersections are derived from those of a highly similar pivot.
 
 Parts that hold few shingles, or only very frequent ones (by counts over all documents, in a table of
-fixed size), prove little; there are some more parts than needed, so that the weakest can go.
+fixed size), prove little; there are some more parts than needed, so that the weakest can go. Two sets
+that share a part all the same must also have digests of some bits a shingle, the parities of their bins,
+that differ in no more bits than linked sets differ in shingles: pairs that meet by chance, whose number
+grows with the square of the corpus, don't, and so never bring their sets into one cluster.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ HOT_TIMES, HOT_LEAST = 3, 64
 GROUP_ENTRIES = 600_000
 TILE_SHINGLES = 1_500_000
 TILE_SETS = 512
+#: Sets of a signature up to which all their pairs are held against the sets' parities; more are joined in a chain.
+PAIRED_SETS = 16
+#: Bits of parities a shingle, bits at least.
+PARITY_BITS, PARITY_LEAST = 0.75, 128
 #: Pivots kept: sets with the sizes of their intersections.
 PIVOTS = 4
 
@@ -113,6 +120,29 @@ class Parts:
         return out
 
 
+    def parities(self, s: np.ndarray) -> list[bytes]:
+        """For the own interval, and for the next: of each of a number of bins whether it has an odd number of shingles.
+
+        The number is one for all sets of a scheme. A shingle that only one of two sets has turns one bit, so
+        they differ in at least as many shingles as bits.
+        """
+        j, out = int(self.interval(len(s))), []
+        for scheme in (j, j + 1):
+            n = 8 * ceil(max(PARITY_LEAST, PARITY_BITS * int(self.lows[scheme + 1])) / 8)
+            out.append(np.packbits(np.bincount(((s >> U(32)) * U(n) >> U(32)).astype(np.int64), minlength=n) & 1).tobytes())
+        return out
+
+
+def may_link(x: list[bytes], y: list[bytes], nx: np.ndarray, ny: np.ndarray, t: int) -> np.ndarray:
+    """Which pairs of sets can link by their parities: 100 * intersection >= t * union, in terms of what differs."""
+    out = np.ones(len(x), bool)
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        if a is not None and b is not None and len(a) == len(b):
+            differ = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+            out[i] = (100 + t) * differ <= (100 - t) * (int(nx[i]) + int(ny[i]))
+    return out
+
+
 def linked(overlap, nx, ny, t: int):
     """100 * intersection >= t * union, in whole numbers."""
     return (100 + t) * overlap >= t * (nx + ny)
@@ -202,29 +232,31 @@ def join_sets(sets: list[np.ndarray], t: int, left: np.ndarray | None = None, co
     return out
 
 
-def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Of each row id, mark (as in `docs`), n, d1, d2 (kind 0); of each task the shingle counts in slices (kind 1)."""
+def _facts(docs: DataFrame, k: int, t: int) -> DataFrame:
+    """Of each row id, mark (as in `docs`), n, d1, d2, parities (kind 0); of each task the shingle counts in slices (kind 1)."""
     per = (1 << SKETCH_BITS) // SLICES
 
     def run(batches):
-        sets, bins = Sets(k), np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "id", "mark", "n", "d1", "d2", "blob"]
+        sets, parts, bins = Sets(k), Parts(t, None), np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["kind", "id", "mark", "n", "d1", "d2", "own_bits", "next_bits", "blob"]
         for batch in batches:
             for part in C.text_slices(batch, "text"):
                 got = sets(part.column(1).to_pylist())
                 flat = np.concatenate(got)
                 bins += np.bincount((flat >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(bins))
                 d = [digests(s) if len(s) else (None, None) for s in got]
+                bits = [parts.parities(s) if len(s) else (None, None) for s in got]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([0] * len(got), pa.int32()), part.column(0), part.column(2), pa.array([len(s) for s in got], pa.int64()),
-                    pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.nulls(len(got), pa.binary()),
+                    pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()),
+                    pa.array([x for x, _ in bits], pa.binary()), pa.array([x for _, x in bits], pa.binary()), pa.nulls(len(got), pa.binary()),
                 ], names=names)
         if bins.any():
             blobs = [zlib.compress(bins[s * per : (s + 1) * per].astype("<u4").tobytes(), 1) for s in range(SLICES)]
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], names=names)
+            none, empty = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), none, none, none, none, empty, empty, pa.array(blobs, pa.binary())], names=names)
 
-    return docs.mapInArrow(C.streaming(run), "kind int, id long, mark long, n long, d1 long, d2 long, blob binary")
+    return docs.mapInArrow(C.streaming(run), "kind int, id long, mark long, n long, d1 long, d2 long, own_bits binary, next_bits binary, blob binary")
 
 
 def _hot(facts: DataFrame) -> np.ndarray:
@@ -244,11 +276,12 @@ def _hot(facts: DataFrame) -> np.ndarray:
     return bins > max(HOT_LEAST, HOT_TIMES * bins.mean())
 
 
-def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: int) -> DataFrame:
-    """(node, root): of the classes that share a signature with another one, and their cluster.
+def _clusters(docs: DataFrame, live: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: int) -> DataFrame:
+    """(node, root): of the classes that share a signature with another one they may link with, and their cluster.
 
     A class is two nodes: d1 with the last bit set in its own interval's clusters, with the last bit
-    unset in the next one's. Signatures that no set of the interval itself has join nothing.
+    unset in the next one's. Signatures that no set of the interval itself has join nothing. `live` has
+    the classes' n, d1 and parities, in as many rows as there are.
     """
     buckets = C.n_parts(n_signatures, GROUP_ENTRIES)
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(hot).tobytes())
@@ -284,7 +317,7 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Edges along the nodes of each signature."""
+        """Edges between all nodes of a signature, or along the nodes of one that many have (held)."""
         sig, node = [], []
         for blob in t.column("blob").to_pylist():
             n = len(blob) // 16
@@ -293,14 +326,40 @@ def _clusters(docs: DataFrame, k: int, t: int, hot: np.ndarray, n_signatures: in
         sig, node = np.concatenate(sig), np.concatenate(node)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))  # equal sets sign in several tasks
+        sig, node = sig[new], node[new]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        own = np.repeat(np.maximum.reduceat(node & 1, first) > 0, np.diff(np.append(first, len(sig))))
-        at = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]) & own[1:])
-        pairs = np.unique(np.stack([node[at], node[at + 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    edges = docs.mapInArrow(C.streaming(sign), "bucket int, blob binary").groupBy("bucket").applyInArrow(C.grouped(meet), "a long, b long")
-    return connected_components(edges)
+        long = np.diff(np.append(first, len(sig)))
+        own, many = np.repeat(np.maximum.reduceat(node & 1, first) > 0, long), np.repeat(long > PAIRED_SETS, long)
+        pairs = []
+        for far in range(1, max(PAIRED_SETS, 2)):
+            same = sig[far:] == sig[:-far]
+            at = np.flatnonzero(same & ~many[far:] & ((node[far:] | node[:-far]) & 1 > 0))
+            pairs.append(np.stack([node[at], node[at + far], np.zeros(len(at), np.int64)], 1))
+            if far == 1:
+                at = np.flatnonzero(same & many[1:] & own[1:])
+                pairs.append(np.stack([node[at], node[at + 1], np.ones(len(at), np.int64)], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "held"])
+
+    def fits(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            fine = may_link([v["bits"] for v in x], [v["bits"] for v in y], [v["n"] for v in x], [v["n"] for v in y], t)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(pa.array(fine)), pa.array(b, pa.int64()).filter(pa.array(fine))], names=["a", "b"])
+
+    met = docs.mapInArrow(C.streaming(sign), "bucket int, blob binary").groupBy("bucket").applyInArrow(C.grouped(meet), "a long, b long, held boolean")
+    met = C.materialize(met.groupBy("a", "b").agg(F.max("held").alias("held")))
+    # a node's last bit is not the digest's; sets of one digest but for that have no parities to be judged by
+    bits = live.select(F.shiftright("d1", 1).alias("key"), F.struct("n", "own_bits", "next_bits").alias("set")).groupBy("key").agg(F.min("set").alias("set"), F.max("set").alias("other"))
+    pairs = met.where("not held").select("a", "b")
+    for node, to in (("a", "x"), ("b", "y")):
+        side = F.when(F.col("set") == F.col("other"), F.when(F.col(node).bitwiseAND(1) == 1, F.col("set.own_bits")).otherwise(F.col("set.next_bits")))
+        pairs = pairs.withColumn("key", F.shiftright(node, 1)).join(bits.hint("merge"), "key").withColumn(to, F.struct("set.n", side.alias("bits"))).drop("key", "set", "other")
+    pairs = pairs.mapInArrow(fits, "a long, b long")
+    out = connected_components(pairs.union(met.where("held").select("a", "b")))
+    C.discard(met)
+    return out
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
@@ -308,14 +367,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tup
     sets that have an id, with d1, d2, node, root and n_links. A node is struct<rep, d1, d2>, where rep is
     the least id of the set, and root the least node of its component."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), C.octets(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    facts = C.materialize(_facts(base, k))
+    facts = C.materialize(_facts(base, k, t))
     hot = _hot(facts)
     own = facts.where("kind = 0").select("id", "mark", "n", "d1", "d2")
-    live = own.where("id is not null and n > 0")
+    live = facts.where("kind = 0 and id is not null and n > 0")
     total = live.agg(F.sum("n")).first()[0] or 0
     classes = live.groupBy("d1", "d2").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = classes.select("d1", "d2", F.col("least.id").alias("rep"), F.col("least.mark").alias("mark"), "copies", "n")
-    roots = _clusters(base.where("id is not null"), k, t, hot, int(total * 0.4))
+    roots = _clusters(base.where("id is not null"), live, k, t, hot, int(total * 0.4))
     sides = F.explode(F.array(F.struct(F.expr("d1 | 1L").alias("node"), F.lit(True).alias("own")), F.struct(F.expr("d1 & ~1L").alias("node"), F.lit(False).alias("own"))))
     members = classes.select("*", sides.alias("side")).select("rep", "mark", "d1", "d2", "copies", "n", "side.*").join(roots, "node").drop("node")
     sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
@@ -397,6 +456,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tup
 
     node = "struct<rep:long,d1:long,d2:long>"
     found = C.materialize(dealt.groupBy("root", "i", "j").applyInArrow(C.grouped(links), f"a {node}, b {node}, n long"))
+    C.discard(members)
     comp = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_other"))
     classes = classes.withColumn("node", F.struct("rep", "d1", "d2")).join(comp, "node", "left").join(counts, "node", "left")

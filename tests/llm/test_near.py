@@ -150,3 +150,70 @@ def test_one_row_many_times(spark, monkeypatch):
     monkeypatch.setattr(jaccard.C, "grouped", bounded)
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert got == {1: (1, 5001), 2: (1, 5001), 3: (1, 5001)}
+
+
+def test_parities_differ_no_more_than_sets():
+    """Linked sets pass; sets without anything in common, which may share a part by chance, don't."""
+    rng = np.random.default_rng(5)
+    for t in (50, 80, 85):
+        parts = jaccard.Parts(t, None)
+        for n in (1, 2, 7, 40, 200, 3000):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            for change in (0, 1, n // 20, n // 10, n // 5, n):
+                y = np.unique(np.concatenate((x[change:], rng.integers(0, 2**63, int(rng.integers(0, change + 1)), dtype=np.uint64))))
+                if not len(y):
+                    continue
+                both = len(np.intersect1d(x, y))
+                (low, a), (high, b) = sorted(((parts.interval(len(s)), s) for s in (x, y)), key=lambda p: p[0])
+                if (100 + t) * both >= t * (len(x) + len(y)):
+                    assert high - low <= 1
+                    pair = [parts.parities(a)[high - low]], [parts.parities(b)[0]]
+                    assert jaccard.may_link(*pair, [len(a)], [len(b)], t).all()
+            if n >= 40:
+                y = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                assert not jaccard.may_link(parts.parities(x)[:1], parts.parities(y)[:1], [n], [n], 80).any()
+    assert jaccard.may_link([None, b"\0"], [b"\1", b"\1\0"], [5, 5], [5, 5], 80).all()  # of another size, or not known
+
+
+def test_no_cluster_by_a_common_passage(spark, monkeypatch):
+    """Texts that share a passage, but little else, share parts by chance; their sets aren't sent."""
+    rng = random.Random(6)
+    rows = []
+    for group in range(6):
+        passage = [f"p{group}x{i}" for i in range(22)]
+        for i in range(8):
+            rows.append((len(rows), " ".join([f"r{rng.randrange(10**9)}" for _ in range(20)] + passage + [f"r{rng.randrange(10**9)}" for _ in range(20)])))
+    rows.append((100, rows[0][1] + " more"))
+    want, _ = brute(rows, 5, 80)
+    sent, real = [], common.materialize
+
+    def counted(df):
+        out = real(df)
+        if "places" in df.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.C, "materialize", counted)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join_components(make(spark, rows), k=5, t=80).collect()}
+    assert [got[i] for i, _ in rows] == want and got[100] == (0, 1)
+    assert sent == [2]
+
+
+def test_parts_of_many_sets_are_chained(spark, monkeypatch):
+    """Beyond the bound of paired sets, signatures join as before, whatever the parities."""
+    rows = rows_with_repeated_ids(7)
+    want, _ = brute(rows, 5, 80)
+    for bound in (1, 3):
+        monkeypatch.setattr(jaccard, "PAIRED_SETS", bound)
+        got = jaccard.join_components(make(spark, rows), k=5, t=80).collect()
+        assert sorted((r.doc_id, r.component_id, r.n_links) for r in got if r.doc_id is not None) == sorted((i, c, n) for (i, _), (c, n) in zip(rows, want) if i is not None)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    df = common.materialize(spark.range(10_000).repartition(4).groupBy(F.col("id") % 7).count())
+    assert not files() - before
+    assert df.count() == 7 and spark.conf.get(common.CLEANUP, None) is None

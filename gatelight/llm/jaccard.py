@@ -11,8 +11,8 @@ the sizes of a set's intersections are derived from those of a highly similar pi
 Parts that hold few shingles, or only very frequent ones (by counts over all documents, in a table of
 fixed size), prove little; there are some more parts than needed, so that the weakest can go. Two sets
 that share a part all the same must also have digests of some bits a shingle, the parities of their bins,
-that differ in no more bits than linked sets differ in shingles: pairs that meet by chance, whose number
-grows with the square of the corpus, don't, and so never bring their sets into one cluster.
+that differ in no more bits than linked sets differ in shingles: most pairs that meet by chance don't, and
+bring no sets into a cluster. Signatures that many sets have join them unchecked.
 """
 
 from __future__ import annotations
